@@ -38,6 +38,6 @@ def test_stream(spark, tmp_path):
     raw = derived_export(spark, DATA)
     raw.repartition(1).write.parquet(str(tmp_path / "in"))
     got = []
-    q = follow(spark, str(tmp_path / "in"), raw.schema.simpleString()[7:-1], Options(dedup_client_id=True), lambda df, i: got.append(df.count()), str(tmp_path / "cp"))
+    q = follow(spark, str(tmp_path / "in"), raw.schema, Options(dedup_client_id=True), lambda df, i: got.append(df.count()), str(tmp_path / "cp"))
     q.awaitTermination()
     assert got == [registry.queries()["dedup_client_id"](spark, DATA).count()]
