@@ -5,9 +5,10 @@ windows mostly share it, and a run of them (a super-k-mer) travels as one packed
 windows have equal minimisers, so they meet in one bucket, where sorting the windows' own bytes finds the equal ones.
 
 Only minimisers that occur in two documents at least can hold a shared window, so a first pass over (minimiser, doc_id)
-pairs decides which runs travel. A minimiser in more than `hot` documents would make its bucket large: its windows travel
-one by one as 128-bit digests, and a keyed min (combined on the map side) takes the place of the bucket. Nothing is
-capped: hot minimisers give the same result by that other way.
+pairs decides which runs travel. A minimiser in more than `hot` documents would make its bucket large: its runs hold the
+128-bit digests of their windows instead, a keyed min over digests (combined in each task first) finds the windows that
+documents share, and each run meets those of its own minimiser in a join that Spark can split. Nothing is capped: hot
+minimisers give the same result by that other way.
 
 Defined cases: null or empty text has no words; a null doc_id is neither an earlier nor a later document, so its text
 stays; rows with one doc_id count as one document and are never removed on each other's account; columns beside doc_id
@@ -61,8 +62,12 @@ def _marks(k: int, m: int):
     return work
 
 
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def _travel(k: int, m: int):
-    """Runs whose minimiser is shared: packed strings, or a digest per window where the minimiser is hot."""
+    """Runs whose minimiser is shared: packed strings, or the digests of the windows where the minimiser is hot."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
@@ -79,11 +84,9 @@ def _travel(k: int, m: int):
                 if t != of:
                     words, of, base = texts[t].split(), t, int(w.first[t])
                 at = s - base
-                if hot:
-                    for i in range(at, at + n):
-                        rows.append((True, x, ids[t], tags[t], i, 1, hashlib.blake2b(b" ".join(words[i : i + k]), digest_size=16).digest()))
-                else:
-                    rows.append((False, x, ids[t], tags[t], at, n, b" ".join(words[at : at + n + k - 1])))
+                packed = words[at : at + n + k - 1]
+                blob = b"".join(_digest(packed[i : i + k]) for i in range(n)) if hot else b" ".join(packed)
+                rows.append((hot, x, ids[t], tags[t], at, n, blob))
                 if len(rows) >= 20000:
                     yield _rows(rows)
                     rows = []
@@ -154,6 +157,44 @@ def _buckets(k: int):
     return work
 
 
+_SEEN = "digest binary, minimiser long, lo long, hi long"
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest and largest doc_id of each window digest, summed up within the task as far as memory goes."""
+    found: dict[bytes, list] = {}
+
+    def out():
+        cols = [list(found), *(list(c) for c in zip(*found.values(), strict=True))] if found else [[], [], [], []]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[c.split()[0] for c in _SEEN.split(", ")])
+
+    for batch in batches:
+        for x, doc, blob in zip(*(batch.column(c).to_pylist() for c in ("minimiser", "doc_id", "packed")), strict=True):
+            for i in range(0, len(blob), 16):
+                have = found.setdefault(blob[i : i + 16], [x, doc, doc])
+                have[1], have[2] = min(have[1], doc), max(have[2], doc)
+        if len(found) > 200_000:
+            yield out()
+            found.clear()
+    yield out()
+
+
+_RANGE = "doc_id long, tag long, start int, n int"
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of hot runs that a smaller doc_id has too."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc, tag, start, blob, digests, first in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "start", "packed", "digests", "firsts")), strict=True):
+            earlier = dict(zip(digests, first, strict=True))
+            js = np.array([i for i in range(len(blob) // 16) if earlier.get(blob[16 * i : 16 * i + 16], doc) < doc], np.int64)
+            if len(js):
+                rows += [(doc, tag, start + int(p[0]), len(p)) for p in np.split(js, np.flatnonzero(np.diff(js) != 1) + 1)]
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=[c.split()[0] for c in _RANGE.split(", ")])
+
+
 def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
     """(doc_id, tag, start, n): n windows from word `start` on that also start in a smaller doc_id. tag: hash of the text."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).where("doc_id is not null and text is not null")
@@ -161,10 +202,11 @@ def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) ->
     shared = marks.groupBy("minimiser").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c")).where("lo < hi")
     lists = marks.join(shared, "minimiser").groupBy("doc_id").agg(F.collect_list("minimiser").alias("shared"), F.collect_list(F.col("c") > hot).alias("hot"))
     runs_ = kept(docs.join(lists, "doc_id").select("doc_id", "tag", "text", "shared", "hot").mapInArrow(_travel(k, m), _TRAVEL), "runs")
-    cold = runs_.where("not hot").repartition("minimiser").sortWithinPartitions("minimiser").drop("hot").mapInArrow(_buckets(k), "doc_id long, tag long, start int, n int")
-    single = runs_.where("hot").select("packed", "doc_id", "tag", "start", "n")
-    first = single.groupBy("packed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    warm = single.join(first, "packed").where("doc_id > first").select("doc_id", "tag", "start", "n")
+    cold = runs_.where("not hot").repartition("minimiser").sortWithinPartitions("minimiser").drop("hot").mapInArrow(_buckets(k), _RANGE)
+    single = runs_.where("hot").select("minimiser", "doc_id", "tag", "start", "packed")
+    seen = single.select("minimiser", "doc_id", "packed").mapInArrow(_seen, _SEEN).groupBy("digest").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.first("minimiser").alias("minimiser"))
+    shared = seen.where("first < last").groupBy("minimiser").agg(F.collect_list("digest").alias("digests"), F.collect_list("first").alias("firsts"))
+    warm = single.join(shared, "minimiser").select("doc_id", "tag", "start", "packed", "digests", "firsts").mapInArrow(_meet, _RANGE)
     return cold.unionByName(warm)
 
 
