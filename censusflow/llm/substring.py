@@ -184,10 +184,12 @@ _RANGE = "doc_id long, tag long, start int, n int"
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of hot runs that a smaller doc_id has too."""
+    at, earlier = None, {}
     for batch in batches:
         rows: list[tuple] = []
-        for doc, tag, start, blob, digests, first in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "start", "packed", "digests", "firsts")), strict=True):
-            earlier = dict(zip(digests, first, strict=True))
+        for r, (x, doc, tag, start, blob) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("minimiser", "doc_id", "tag", "start", "packed")), strict=True)):
+            if x != at:  # rows of one minimiser are neighbours after the join; their lists are the same
+                at, earlier = x, dict(zip(batch.column("digests")[r].as_py(), batch.column("firsts")[r].as_py(), strict=True))
             js = np.array([i for i in range(len(blob) // 16) if earlier.get(blob[16 * i : 16 * i + 16], doc) < doc], np.int64)
             if len(js):
                 rows += [(doc, tag, start + int(p[0]), len(p)) for p in np.split(js, np.flatnonzero(np.diff(js) != 1) + 1)]
@@ -206,7 +208,7 @@ def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) ->
     single = runs_.where("hot").select("minimiser", "doc_id", "tag", "start", "packed")
     seen = single.select("minimiser", "doc_id", "packed").mapInArrow(_seen, _SEEN).groupBy("digest").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.first("minimiser").alias("minimiser"))
     shared = seen.where("first < last").groupBy("minimiser").agg(F.collect_list("digest").alias("digests"), F.collect_list("first").alias("firsts"))
-    warm = single.join(shared, "minimiser").select("doc_id", "tag", "start", "packed", "digests", "firsts").mapInArrow(_meet, _RANGE)
+    warm = single.join(shared, "minimiser").select("minimiser", "doc_id", "tag", "start", "packed", "digests", "firsts").mapInArrow(_meet, _RANGE)
     return cold.unionByName(warm)
 
 
