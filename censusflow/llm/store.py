@@ -1,6 +1,6 @@
 """Content-addressed token store.
 
-A text's ids are cut where a rolling hash over the last 16 ids hits a mask, so equal passages give equal chunks wherever
+A text's ids are cut where a rolling hash over the last 8 ids hits a mask, so equal passages give equal chunks wherever
 they stand. A chunk's name is the digest of its bytes; each is stored once. A document is a recipe (names and sizes of
 its chunks) with a Merkle root over the names. Layout below one folder, all Parquet:
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from censusflow.llm.common import multipliers, mix, partitions
 from censusflow.llm.tokens import encoded, encoder
 
-SPAN, LEAST, MASK_BITS, MOST = 16, 128, 9, 4096
+SPAN, LEAST, MASK_BITS, MOST = 8, 128, 9, 4096
 
 
 def name(data: bytes) -> bytes:
@@ -168,9 +169,6 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("key"), pa.array(good, pa.bool_()), pa.array(crc, pa.int64())], names=["key", "good", "crc"])
 
 
-_SHIFTS: dict[int, list[int]] = {}
-
-
 def _times(rows: list[int], v: int) -> int:
     out, i = 0, 0
     while v:
@@ -181,22 +179,26 @@ def _times(rows: list[int], v: int) -> int:
     return out
 
 
+@lru_cache(1)
+def _zeros() -> list[list[int]]:
+    """Linear maps of a CRC-32 register over GF(2) for 1, 2, 4, ... zero bytes."""
+    op, out = [0xEDB88320] + [1 << i for i in range(31)], []  # one zero bit
+    for k in range(3 + 40):
+        if k >= 3:
+            out.append(op)
+        op = [_times(op, x) for x in op]
+    return out
+
+
 def shift(crc: int, n: int) -> int:
-    """CRC-32 register after n zero bytes, as a linear map over GF(2)."""
-    if n not in _SHIFTS:
-        if len(_SHIFTS) > 10_000:
-            _SHIFTS.clear()
-        op = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
-        for _ in range(3):
-            op = [_times(op, x) for x in op]
-        whole, k = [1 << i for i in range(32)], n
-        while k:
-            if k & 1:
-                whole = [_times(op, x) for x in whole]
-            op = [_times(op, x) for x in op]
-            k >>= 1
-        _SHIFTS[n] = whole
-    return _times(_SHIFTS[n], crc)
+    """The register after n zero bytes."""
+    for op in _zeros():
+        if not n:
+            break
+        if n & 1:
+            crc = _times(op, crc)
+        n >>= 1
+    return crc
 
 
 def joined_crc(parts: list[tuple[int, int]]) -> int:

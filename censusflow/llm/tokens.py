@@ -2,8 +2,9 @@
 
 The library splits a text at fixed places before it merges, so pieces cut at such places give the ids of the whole. For
 texts of printable Latin characters, tabs and line breaks such places are known: before a single space between words
-(byte-level vocabulary), or at any white space (word vocabulary). All other texts, and texts that hold the string of a
-special token, go to the library whole. New pieces go to it many at a time, a special token between them. The cache
+(byte-level vocabulary), or at any white space (word vocabulary, which also lets texts be put in lower case first). A
+word and the signs after it, and a line break in between, are cut apart too when they are new. All other texts, and texts
+that hold the string of a special token, go to the library whole. New pieces go to it many at a time, a special token between them. The cache
 has two generations of at most `limit` pieces; when the younger is full, it becomes the older one.
 """
 
@@ -15,7 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ]*")
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-įı-ɏ]*")
+_L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_TAIL = re.compile(rf"(\n?[{_L}]+)([^{_L}0-9²³¹¼-¾'\s]+)")
 _ASCII = re.compile(r"[\t\n\r\x20-\x7e]*")
 _WIDE = re.compile(r"[\t\n\r ][\t\n\r ]")
 
@@ -41,14 +44,46 @@ class Encoder:
         if not (_ASCII if text.isascii() else _PLAIN).fullmatch(text) or any(s in text for s in self.special):
             return None
         if not self.keeps_spaces:
-            return text.split()
+            return text.lower().split()
         if text[:1].isspace() or text[-1:].isspace() or _WIDE.search(text):
             return None
         parts = text.split(" ")
         parts[0] = "\n" + parts[0]
         return parts
 
-    def _learn(self, new: list[str]) -> None:
+    def _parts(self, piece: str) -> list[str]:
+        """Smaller pieces with the same ids; a leading line break marks what has no space before it."""
+        lines = [piece]
+        if self.keeps_spaces and "\n" in piece[1:]:
+            first, *rest = piece[1:].split("\n")
+            lines = [piece[0] + first, *(x for r in rest for x in ("\n\n", "\n" + r))]
+        out = []
+        for x in lines:
+            m = _TAIL.fullmatch(x)
+            out += (m[1], "\n" + m[2] if self.keeps_spaces else m[2]) if m else (x,)
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        mixed = [p for p in new if not p.isalpha()]
+        plain = new.difference(mixed)
+        parts = [(p, self._parts(p)) for p in mixed]
+        for _, c in parts:
+            plain.update(c)
+        self._encode(list(self._recall(plain)))
+        young = self.young
+        get = young.__getitem__
+        young.update([(p, b"".join(map(get, c))) for p, c in parts if len(c) > 1])
+
+    def _recall(self, wanted: set[str]) -> set[str]:
+        """Take pieces over from the older generation; what is in neither."""
+        wanted = wanted - self.young.keys()
+        if self.old:
+            again = wanted & self.old.keys()
+            self.young.update({p: self.old[p] for p in again})
+            wanted -= again
+        return wanted
+
+    def _encode(self, new: list[str]) -> None:
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
             full = [p[1:] if p[:1] == "\n" else " " + p for p in part] if self.keeps_spaces else part
@@ -67,12 +102,7 @@ class Encoder:
         odd = iter(self.whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
-        missing = set().union(*(c for c in cut if c)) - self.young.keys()
-        if missing and self.old:
-            again = missing & self.old.keys()
-            self.young.update({p: self.old[p] for p in again})
-            missing -= again
-        self._learn(list(missing))
+        self._learn(self._recall(set().union(*(c for c in cut if c))))
         get = self.young.__getitem__
         return [next(odd) if c is None else np.frombuffer(b"".join(map(get, c)), "<u4") for c in cut]
 
