@@ -2,8 +2,8 @@
 
 The library splits a text at fixed places before it merges, so pieces cut at such places give the ids of the whole. For
 texts of printable Latin characters, tabs and line breaks such places are known: before a single space between words
-(byte-level vocabulary), or at any white space (word vocabulary, which also lets texts be put in lower case first). A
-word and the signs after it, and a line break in between, are cut apart too when they are new. All other texts, and texts
+(byte-level vocabulary), or at any white space (word vocabulary, which also lets texts be put in lower case first, and new
+words be cut from the signs after them). All other texts, and texts
 that hold the string of a special token, go to the library whole. New pieces go to it many at a time, a special token between them. The cache
 has two generations of at most `limit` pieces; when the younger is full, it becomes the older one.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-įı-ɏ]*")
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_TAIL = re.compile(rf"(\n?[{_L}]+)([^{_L}0-9²³¹¼-¾'\s]+)")
+_TAIL = re.compile(rf"([{_L}]+)([^{_L}0-9²³¹¼-¾'\s]+)")
 _ASCII = re.compile(r"[\t\n\r\x20-\x7e]*")
 _WIDE = re.compile(r"[\t\n\r ][\t\n\r ]")
 
@@ -51,28 +51,17 @@ class Encoder:
         parts[0] = "\n" + parts[0]
         return parts
 
-    def _parts(self, piece: str) -> list[str]:
-        """Smaller pieces with the same ids; a leading line break marks what has no space before it."""
-        lines = [piece]
-        if self.keeps_spaces and "\n" in piece[1:]:
-            first, *rest = piece[1:].split("\n")
-            lines = [piece[0] + first, *(x for r in rest for x in ("\n\n", "\n" + r))]
-        out = []
-        for x in lines:
-            m = _TAIL.fullmatch(x)
-            out += (m[1], "\n" + m[2] if self.keeps_spaces else m[2]) if m else (x,)
-        return out
-
     def _learn(self, new: set[str]) -> None:
-        mixed = [p for p in new if not p.isalpha()]
-        plain = new.difference(mixed)
-        parts = [(p, self._parts(p)) for p in mixed]
+        if self.keeps_spaces:
+            self._encode(list(new))
+            return
+        parts = [(p, m.groups()) for p in new if not p.isalpha() and (m := _TAIL.fullmatch(p))]
+        plain = new.difference([p for p, _ in parts])
         for _, c in parts:
             plain.update(c)
         self._encode(list(self._recall(plain)))
-        young = self.young
-        get = young.__getitem__
-        young.update([(p, b"".join(map(get, c))) for p, c in parts if len(c) > 1])
+        get = self.young.__getitem__
+        self.young.update([(p, b"".join(map(get, c))) for p, c in parts])
 
     def _recall(self, wanted: set[str]) -> set[str]:
         """Take pieces over from the older generation; what is in neither."""
