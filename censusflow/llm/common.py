@@ -45,7 +45,7 @@ class Words:
         if len(starts):
             sizes = ends - starts
             inside = np.arange(len(buf), dtype=np.int64)
-            inside -= np.repeat(np.concatenate(([0], starts[1:])), np.diff(np.concatenate(([0], starts[1:], [len(buf)]))))
+            inside -= np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(buf)]))))
             h = mix(buf.astype(np.uint64) * _C[0] + inside.astype(np.uint64) * _C[2])
             h[space] = 0
             self.hash = mix(np.add.reduceat(h, starts) + sizes.astype(np.uint64))

@@ -6,9 +6,10 @@
    their first |x| - ceil(0.85 |x|) + 1. Entries (n-gram, set digest, size, position) travel as packed blocks, so equal
    sets count once and a bucket is a few arrays.
 3. Within a bucket, n-grams of at most `hub` sets give all pairs that the length and positional filters let through.
-   Larger groups give pairs with their hubs and neighbours in order of size only, and are kept. After those pairs are
-   verified, pairs of kept groups whose ends still lie in different components are made and verified too. So no link
-   between components is lost, and near copies by the thousand don't give all their pairs.
+   Larger groups give pairs with their hubs and neighbours in order of size only, and are kept. Rounds of more hub pairs,
+   only between sets whose components still differ, join most of such a group; at last all pairs of kept groups whose ends
+   still lie in different components are made and verified too. So no link between components is lost, and near copies by
+   the thousand don't give all their pairs.
 4. Pairs pass the suffix filter (an upper bound of the overlap by the histograms) once, then the texts are compared.
 
 Defined cases: null or blank text has an empty set and links with nothing; a text of fewer words than n has one n-gram;
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from censusflow.llm.common import Words, components, kept, mix, partitions, pieces
 
-N, PERCENT, HUB = 4, 85, 64
+N, PERCENT, HUB, ROUNDS = 4, 85, 64, 3
 CELLS, RANGES = 18, 64
 _U = np.uint64
 
@@ -217,25 +218,36 @@ def _meet(percent: int, hub: int):
     return work
 
 
-def _cross(percent: int):
-    """Pairs of kept groups whose components differ; rows come sorted by token."""
+def _cross(percent: int, hubs: int = 0, salt: int = 0):
+    """Near pairs of kept groups whose components differ: all of them, or those with `hubs` members picked by hash.
+
+    Rows come sorted by token and bring their histograms, so the suffix filter works here, before a pair is made.
+    """
 
     def group(rows) -> Iterator[pa.RecordBatch]:
-        s, z, q, c = (np.array(a) for a in zip(*rows, strict=True))
-        if (c == c[0]).all():
+        s, z, q, c = (np.array(a) for a in list(zip(*rows, strict=True))[:4])
+        names, count = np.unique(c, return_counts=True)
+        if len(names) < 2:
             return
-        for i in range(len(s) - 1):  # one member against the rest: memory stays that of the group
-            y = np.arange(i + 1, len(s))
-            y = y[c[y] != c[i]]
+        h = np.frombuffer(b"".join(r[4] for r in rows), np.int32).reshape(-1, RANGES)
+        if hubs:
+            first = np.argsort(mix(s.view(np.uint64) + _U(salt)))[:hubs]
+        else:
+            first = np.flatnonzero(c != names[count.argmax()])
+        done = np.zeros(len(s), bool)
+        for i in first.tolist():  # one member against the rest: memory stays that of the group
+            done[i] = True
+            y = np.flatnonzero((c != c[i]) & ~done)
             x = np.full(len(y), i)
             y = y[_through(x, y, z, q, percent)]
+            y = y[np.minimum(h[i], h[y]).sum(1, dtype=np.int64) >= needed(int(z[i]), z[y].astype(np.int64), percent)]
             if len(y):
                 yield _pair_batch("", None, np.minimum(s[i], s[y]), np.maximum(s[i], s[y]), None, None)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, rows = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("token", "set", "size", "place", "component")]
+            cols = [batch.column(c).to_pylist() for c in ("token", "set", "size", "place", "component", "hist")]
             for t, *row in zip(*cols, strict=True):
                 if t != token and rows:
                     yield from group(rows)
@@ -291,25 +303,31 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT, hub: int = HUB)
     met = kept(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(percent, hub), _PAIR), "pairs")
     reps = kept(sets.where("n > 0").groupBy("s1").agg(F.min_by(F.struct("doc_id", "hist"), "doc_id").alias("r")).select(F.col("s1").alias("set"), "r.doc_id", "r.hist"), "reps")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b) of sets that do link."""
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs that the suffix filter lets through."""
         left = reps.select(F.col("set").alias("a"), F.col("hist").alias("hist_a"))
         right = reps.select(F.col("set").alias("b"), F.col("hist").alias("hist_b"))
-        near = kept(pairs.join(left, "a").join(right, "b").select("a", "b", "hist_a", "hist_b").mapInArrow(_suffix(percent), "a long, b long"), "near")
-        wanted = near.select(F.col("a").alias("set")).union(near.select("b")).distinct().join(reps.select("set", "doc_id"), "set")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "hist_a", "hist_b").mapInArrow(_suffix(percent), "a long, b long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs of sets that do link."""
+        pairs = kept(pairs, "near")
+        wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(reps.select("set", "doc_id"), "set")
         texts = kept(docs.join(wanted, "doc_id").select("set", "text"), "texts")
-        full = near.join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
-        return full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, percent), "a long, b long")
+        full = pairs.join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
+        return kept(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, percent), "a long, b long"), "links")
 
-    links = kept(verified(met.where("token is null").select("a", "b").distinct()), "links")
+    links = verified(near(met.where("token is null").select("a", "b").distinct()))
     groups = met.where("token is not null").select("token", F.col("a").alias("set"), "size", "place")
     if not groups.isEmpty():
-        label = components(links)
-        named = groups.join(label, groups.set == label.id, "left").select("token", "set", "size", "place", F.coalesce("component", "set").alias("component"))
-        mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        rest = named.join(mixed, "token").repartition("token").sortWithinPartitions("token").mapInArrow(_cross(percent), _PAIR)
-        more = kept(verified(rest.select("a", "b").distinct()), "links")
-        links = links.unionByName(more)
+        groups = kept(groups.join(reps.select("set", "hist"), "set"), "groups")
+        for hubs, salt in (*((6, r) for r in range(1, 1 + ROUNDS)), (0, 0)):
+            label = components(links)
+            named = groups.join(label, groups.set == label.id, "left").select("token", "set", "size", "place", F.coalesce("component", "set").alias("component"), "hist")
+            mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+            # with a number, Spark keeps this exchange; else it may take the join's, whose skewed partitions it splits
+            rest = named.join(mixed, "token").repartition(buckets, "token").sortWithinPartitions("token").mapInArrow(_cross(percent, hubs, salt), _PAIR)
+            links = links.unionByName(verified(rest.select("a", "b").distinct()))
     named = reps.select("set", "doc_id")
     ends = links.join(named.withColumnsRenamed({"set": "a", "doc_id": "x"}), "a").join(named.withColumnsRenamed({"set": "b", "doc_id": "y"}), "b")
     label = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
