@@ -325,8 +325,9 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT, hub: int = HUB)
             label = components(links)
             named = groups.join(label, groups.set == label.id, "left").select("token", "set", "size", "place", F.coalesce("component", "set").alias("component"), "hist")
             mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-            # with a number, Spark keeps this exchange; else it may take the join's, whose skewed partitions it splits
-            rest = named.join(mixed, "token").repartition(buckets, "token").sortWithinPartitions("token").mapInArrow(_cross(percent, hubs, salt), _PAIR)
+            # kept first: Spark would otherwise take the join's own exchange for this one, and read it in other parts
+            rows = kept(named.join(mixed, "token"), "mixed")
+            rest = rows.repartition(buckets, "token").sortWithinPartitions("token").mapInArrow(_cross(percent, hubs, salt), _PAIR)
             links = links.unionByName(verified(rest.select("a", "b").distinct()))
     named = reps.select("set", "doc_id")
     ends = links.join(named.withColumnsRenamed({"set": "a", "doc_id": "x"}), "a").join(named.withColumnsRenamed({"set": "b", "doc_id": "y"}), "b")
