@@ -1,0 +1,295 @@
+"""Corpus operators against plain versions on small fixtures with nulls, empty and repeated rows, ties and clashing columns."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from censusflow.llm import brown, cnn, jaccard, jpeg, langid, latent, packing, store, substring, urls
+from censusflow.llm.common import components, held_out, new_path
+from censusflow.llm.queries import tokenizer
+
+RNG = np.random.default_rng(3)
+VOCABULARY = ["".join(RNG.choice(list("abcdefgéñ"), RNG.integers(2, 9))) for _ in range(400)]
+
+
+def prose(n):
+    return " ".join(RNG.choice(VOCABULARY, n))
+
+
+PASSAGE, BASE = prose(80), prose(150)
+TEXTS = [
+    (0, BASE),
+    (1, "  lead " + PASSAGE + " end\n" + prose(30)),
+    (2, prose(60) + "\t" + PASSAGE),
+    (3, None),
+    (4, ""),
+    (5, BASE),
+    (6, BASE.upper() + " one more"),
+    (7, BASE.replace(" ", "\n", 3)),
+    (8, "two words"),
+    (9, "TWO words"),
+    (10, " \n\t "),
+    (11, (PASSAGE + " ") * 4),
+    (12, prose(6000)),
+    (13, "日本語 text, <|endoftext|> and 12  spaces \x0b x" + PASSAGE),
+    (14, "?!"),
+    (14, "?!"),
+    (15, BASE + " " + prose(100)),
+    (None, PASSAGE),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if i and i % 2 else None, i) for i, t in TEXTS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, tag long").repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("1 = 0")
+
+
+def split(text):
+    return (text or "").encode().split()
+
+
+@pytest.mark.parametrize("hot", [1, 256])
+def test_substring(docs, none, hot):
+    first = {}
+    for i, t in TEXTS:
+        w = split(t)
+        for j in range(len(w) - 49):
+            if i is not None:
+                first[tuple(w[j : j + 50])] = min(first.get(tuple(w[j : j + 50]), i), i)
+    want = []
+    for i, t in TEXTS:
+        w = split(t)
+        gone = {x for j in range(len(w) - 49) if i is not None and first[tuple(w[j : j + 50])] < i for x in range(j, j + 50)}
+        left = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        want.append((i, len(w), len(gone), hashlib.sha256(left).hexdigest()))
+    got = substring.substring_dedup(docs, hot=hot)
+    assert sorted(map(str, want)) == sorted(str(tuple(r)[:4]) for r in got.collect())
+    assert substring.substring_dedup(none).count() == 0
+
+
+@pytest.mark.parametrize("hub,parts", [(1, 8), (64, 8), (1, 3)])
+def test_jaccard(spark, docs, none, hub, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    rows = dict((i, t) for i, t in TEXTS if i is not None)
+    sets = {}
+    for i, t in rows.items():
+        w = [x.lower() for x in split(t)]
+        sets[i] = {tuple(w[j : j + 4]) for j in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set()
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    try:
+        got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(docs, hub=hub).collect()}
+        assert got == {(i, len(sets[i]), label[i]) for i in sets}
+        assert jaccard.similar(none).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+def test_near_copies_by_the_hundred(spark):
+    """Many near copies of one text: components as by brute force whatever the number of partitions."""
+    rows, words = [], prose(120).split()
+    for i in range(160):
+        w = list(words)
+        for _ in range(int(RNG.integers(0, 5))):
+            w[int(RNG.integers(0, 120))] = str(RNG.choice(VOCABULARY))
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(117)} for i, t in rows}
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in range(20):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (2, 29):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        assert {r.doc_id: r.component_id for r in jaccard.similar(frame, hub=8).collect()} == label
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (100, 101)], "a long, b long")
+    assert {r.id: r.component for r in components(edges).collect()} == {i: 0 for i in range(41)} | {i: 99 for i in (99, 100, 101)}
+    assert components(edges.where("1 = 0")).count() == 0
+
+
+def ids_of(name, end):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer(name))
+    return [(i, np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4")) for i, x in TEXTS]
+
+
+def test_store(spark, docs, none):
+    folder = new_path(spark, "store")
+    store.write_store(docs, folder, tokenizer("byte_bpe_50k.json"), 0)
+    want, at = [], 0
+    for i, ids in sorted(ids_of("byte_bpe_50k.json", 0), key=lambda r: (r[0] is not None, r[0] or 0)):
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes()), True))
+        at += len(ids)
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in store.read_sums(spark, folder).collect())
+    back = {r.start: list(r.ids) for r in store.read_ids(spark, folder).collect()}
+    assert len(back) == len(TEXTS) and sum(map(len, back.values())) == at
+    folder = new_path(spark, "store")
+    store.write_store(none, folder, tokenizer("byte_bpe_50k.json"), 0)
+    assert store.read_sums(spark, folder).count() == 0
+    data = RNG.bytes(3000)
+    assert store.joined_crc([(zlib.crc32(data[a:b]), b - a) for a, b in ((0, 7), (7, 7), (7, 2048), (2048, 3000))]) == zlib.crc32(data)
+
+
+def test_packing(docs, none):
+    got = packing.pack(docs, tokenizer("word_bpe_49k.json"), size=64).collect()
+    want = Counter((i, len(x)) for i, x in ids_of("word_bpe_49k.json", 2))
+    assert {(r.doc_id, r.doc_tokens) for r in got} == set(want)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r)
+    for rows in by.values():
+        rows.sort(key=lambda r: r.offset)
+        assert [r.offset for r in rows] == [0, *np.cumsum([r.length for r in rows])[:-1].tolist()]
+        assert (n := sum(r.length for r in rows)) == 64 or n & (n - 1) == 0
+    assert sorted(by) == list(range(len(by)))
+    ids = {i: x for i, x in ids_of("word_bpe_49k.json", 2)}
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+    assert sum(r.length for r in got) == sum(n * k for (_, n), k in want.items())
+    assert packing.pack(none, tokenizer("word_bpe_49k.json")).count() == 0
+
+
+def test_hilbert_is_a_walk():
+    grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    order = grid[np.argsort(packing.hilbert(grid, 3))]
+    assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
+
+
+def test_jpeg(docs, none):
+    got = {(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in jpeg.media_features(jpeg.to_media(docs)).collect()}
+    want = set()
+    for i, t in TEXTS:
+        p = jpeg.padded((t or "").encode())
+        want.add((i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])))
+    assert got == want and jpeg.media_features(jpeg.to_media(none)).count() == 0
+    every = bytes(range(256)) * 9
+    assert jpeg.payload(jpeg.read(jpeg.encode([(every, 7)]))[0]) == (every, 7)
+    long = RNG.bytes(jpeg.ROW * (jpeg.MOST_ROWS + 3))
+    (images,) = jpeg.read(jpeg.encode([(long, len(long))]))
+    assert len(images) == 2 and jpeg.payload(images)[0] == long
+    with pytest.raises(ValueError, match="JPEG"):
+        jpeg.read([b"\xff\xd8\xff"])
+
+
+def test_brown(docs, none):
+    got = [r for r in brown.score(docs, held_out(10, 0), top=50, own=20, classes=4).collect()]
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in TEXTS}
+    c = Counter(w for i, t in TEXTS if not held[i] for w in [*(x.lower() for x in split(t)), b"\n"])
+    n, v = sum(c.values()), len(c)
+    want = []
+    for i, t in TEXTS:
+        w = [*(x.lower() for x in split(t)), b"\n"]
+        want.append((str(i), held[i], len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)))
+    assert sorted(want) == sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got)
+    assert all(r.score < 0 for r in got) and brown.score(none, held_out(10, 0)).count() == 0
+
+
+def test_exchange_never_loses_likelihood():
+    pairs = RNG.integers(0, 9, (30, 30))
+
+    def likelihood(of):
+        m = np.eye(5)[of]
+        x = m.T @ pairs @ m
+        return brown._xlogx(x).sum() - brown._xlogx(x.sum(0)).sum() - brown._xlogx(x.sum(1)).sum()
+
+    assert likelihood(brown.exchange(pairs, 5)) >= likelihood(brown.exchange(pairs, 5, sweeps=0))
+
+
+def test_quality(spark):
+    good = [(i, prose(int(RNG.integers(5, 400))), 1) for i in range(300)]
+    bad = [(i, "!! ".join(prose(int(RNG.integers(5, 400))).upper().split()), 0) for i in range(300, 450)]
+    rows = spark.createDataFrame([*good, *bad, (900, None, None), (901, "", None)], "doc_id long, text string, label int")
+    got = cnn.classify(rows.select("doc_id", "text", F.lit("x").alias("score")), rows.select("doc_id", "label"), held_out(5, 0)).toPandas().merge(rows.select("doc_id", "label").toPandas(), on="doc_id")
+    test = got[got.held_out & got.label.notna()]
+    assert len(got) == 452 and got.score.between(0, 1).all() and (test.predicted == test.label).mean() > 0.95
+    blind = cnn.classify(rows, rows.select("doc_id", "label").where("1 = 0"), held_out(5, 0))
+    assert blind.where("score <> 0.5").count() == 0
+
+
+def test_language(spark):
+    words = {"aa": [w + "ka" for w in VOCABULARY[:60]], "bb": [w[::-1] + "zu" for w in VOCABULARY[:60]]}
+    rows = [(i, " ".join(RNG.choice(words[lang], 60)), lang) for i in range(200) for lang in ["aa" if i % 2 else "bb"]]
+    frame = spark.createDataFrame([*rows, (900, None, "aa"), (901, "12 !?", "aa"), (902, "", None)], "doc_id long, text string, lang string")
+    got = langid.identify(frame, held_out(4, 2)).toPandas().merge(frame.select("doc_id", "lang").toPandas(), on="doc_id").set_index("doc_id")
+    assert list(got.loc[[900, 901, 902], "lang_pred"]) == ["und"] * 3
+    assert (got[got.index < 900].lang_pred == got[got.index < 900].lang).mean() > 0.97
+    assert set(langid.identify(frame.withColumn("lang", F.lit(None).cast("string")), held_out(4, 2)).toPandas().lang_pred) == {"und"}
+
+
+URLS = [
+    ("http://A.Example.COM/en/1?x", "a.example.com", "/en/1", "example.com/en/", "block"),
+    ("https://www.example.com/en/9#t", "www.example.com", "/en/9", "www.example.com/en/", "allow"),
+    ("https://b.www.example.com/en/", "b.www.example.com", "/en/", "www.example.com/en/", "allow"),
+    ("https://x.com/", "x.com", "/", "com/", "allow"),
+    ("https://xcom/", "xcom", "/", None, None),
+    ("https://x.com", "x.com", "", None, None),
+    ("ftp://y.net/fr/a://b", "y.net", "/fr/a://b", "net/fr/", "block"),
+    ("https://y.net/FR/", "y.net", "/FR/", None, None),
+    ("y.net/fr/", "", "", None, None),
+    (None, "", "", None, None),
+    ("https://cheappillsonline.org/en", "cheappillsonline.org", "/en", None, "block"),
+]
+
+
+def test_urls(spark):
+    seeds = [(100 + i, f"http://{h}.org/p/{i}") for i in range(40) for h in (["cheap-pills", "casino-win"][i % 2] if i % 4 == 0 else f"n{'abcdefgh'[i % 8]}ws",)]
+    pages = spark.createDataFrame([*((i, u[0]) for i, u in enumerate(URLS)), *seeds], "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    for i, (_, host, path, rule, verdict) in enumerate(URLS):
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+        assert verdict is None or got[i].verdict == verdict
+    assert got[10].words == "cheap pills online org" and {got[100 + i].verdict for i in range(0, 40, 4)} == {"block"}
+    assert urls.judge(pages.where("1 = 0")).count() == 0
+
+
+def lcs(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(best[j] + 1 if x == y else max(best[j + 1], row[-1]))
+        best = row
+    return best[-1]
+
+
+def test_latent(spark):
+    items = [(i, prose(int(RNG.integers(20, 50))) + ". " + prose(8) + ".") for i in range(12)] + [(90, None), (91, "")]
+    rows = [(i, prose(int(RNG.integers(1, 600)))) for i in range(150)]
+    want = set()
+    for k, (item, text) in enumerate(items[:12]):
+        words = text.split()
+        if k % 2:
+            words[5], words[11] = "changed", "again"
+        rows.append((200 + k, prose(100) + "\n" + " ".join(words).replace("a", "A") + " " + prose(40)))
+        want.add((200 + k, item))
+    rows += [(300, None), (301, "")]
+    big = [f"w{int(x)}" for x in RNG.integers(0, 5000, 40_000)]
+    rows.append((302, " ".join(big)))
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in latent.leaks(frame, bench).collect()}
+    assert want <= got and all(d >= 200 for d, _ in got) and len(got) <= len(want) + 1
+    assert {(r.doc_id, r.item_id) for r in latent.leaks(frame, bench, block=5).collect()} >= want
+    assert latent.leaks(frame, bench.where("1 = 0")).count() == 0 and latent.leaks(frame.where("1 = 0"), bench).count() == 0
+    a, b = list(RNG.integers(0, 9, 40)), list(RNG.integers(0, 9, 90))
+    assert latent.common(a, b) == lcs(a, b)
