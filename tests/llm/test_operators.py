@@ -293,3 +293,34 @@ def test_latent(spark):
     assert latent.leaks(frame, bench.where("1 = 0")).count() == 0 and latent.leaks(frame.where("1 = 0"), bench).count() == 0
     a, b = list(RNG.integers(0, 9, 40)), list(RNG.integers(0, 9, 90))
     assert latent.common(a, b) == lcs(a, b)
+
+
+def leaked(docs, items):
+    """Every item at every passage, by the plain subsequence."""
+    out = {}
+    for d, text in docs:
+        w = latent.words((text or "").encode())
+        for i, item in items:
+            ws = latent.words((item or "").encode())
+            if ws:
+                best = max((lcs(ws, w[max(0, at - len(ws)) : at + 32 + len(ws)]) for at in range(0, len(w), 16)), default=0)
+                if best >= 0.7 * len(ws):
+                    out[d, i] = best
+    return out
+
+
+def altered(text, keep, foreign):
+    """The text with all but a share of its words replaced, each by a word of its own or one that stands everywhere."""
+    w = text.split()
+    for j in RNG.choice(len(w), int(len(w) * (1 - keep)), replace=False):
+        w[j] = f"new{RNG.integers(1e9)}" if foreign else VOCABULARY[j % 3]
+    return " ".join(w)
+
+
+def test_altered_items_as_by_brute_force(spark):
+    items = [(i, prose(n)) for i, n in enumerate((6, 15, 16, 22, 33, 48, 64))]
+    rows = [(i, prose(int(RNG.integers(1, 120)))) for i in range(20)]
+    rows += [(100 + 10 * i + j, prose(int(RNG.integers(0, 40))) + " " + altered(t, (0.71, 0.8)[j % 2], j < 4) + " " + " ".join(f"x{k}" for k in range(40))) for i, t in items for j in range(8)]
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in latent.leaks(frame, bench).where("ratio >= 0.7").collect()}
+    assert got == leaked(rows, items) and len(got) > 40
