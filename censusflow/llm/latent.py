@@ -223,8 +223,8 @@ class Anchors:
 
 
 def queries(block: Block, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Latent vectors of stretches of the items, and the item of each."""
-    parts = [(i, ws[at : at + WINDOW]) for i, (_, ws, _) in enumerate(block.items) for at in (0, max(0, len(ws) - WINDOW))]
+    """Latent vectors of the windows of the items, 16 words apart, and the item of each."""
+    parts = [(i, ws[at : at + WINDOW]) for i, (_, ws, _) in enumerate(block.items) for at in (*range(0, len(ws) - WINDOW, HALF), max(0, len(ws) - WINDOW))]
     return _unit(np.stack([place[[block.vocabulary[w] for w in ws]].sum(0) for _, ws in parts])), np.array([i for i, _ in parts])
 
 

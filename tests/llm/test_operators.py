@@ -324,3 +324,12 @@ def test_altered_items_as_by_brute_force(spark):
     frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.matched for r in latent.leaks(frame, bench).where("ratio >= 0.7").collect()}
     assert got == leaked(rows, items) and len(got) > 40
+
+
+def test_windows_over_whole_item():
+    text = " ".join(f"w{i}" for i in range(160))
+    block = latent.Block.of([{"item_id": 1, "text": text}])
+    z, of = latent.queries(block, np.eye(160, dtype=np.float32))
+    words_ = [{f"w{j}" for j in np.flatnonzero(q)} for q in z]
+    runs = [{f"w{j}" for j in range(i, i + 32)} for i in range(129)]
+    assert set(of) == {0} and all(max(len(r & q) for q in words_) >= 24 for r in runs)
