@@ -8,7 +8,7 @@ item has add to the length only, by an estimated weight), and those whose cosine
 search may miss, so
 anchors add every passage around which an item can stand at all: at most n - m of an item's n words may be missing, so of
 any A of them at least A - (n - m) stand there; the rarest are taken. Where fewer words are enough with the answer, the
-places of the answer are taken. So the result is that of comparing every item at every passage. Each candidate
+places of the answer are taken, or if it has one or two words, anchors for `some`. So the result is that of comparing every item at every passage. Each candidate
 is then compared word by word around the passage: the longest common subsequence with the item, and whether the item's
 answer (its last sentence) stands there. An item counts as leaked if the subsequence holds `most` of its words, or `some` of
 them together with the answer.
@@ -23,6 +23,7 @@ per (doc_id, item_id); texts of fewer words than a window are one passage; empty
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,7 +48,7 @@ def words(text: bytes) -> list[bytes]:
 
 def answer(text: bytes) -> list[bytes]:
     """Words of the last sentence."""
-    parts = [w for w in (words(p) for p in text.replace(b"\n", b". ").split(b".")) if w]
+    parts = [w for w in map(words, re.split(rb"\n|\.(?=\s|$)", text)) if w]
     return parts[-1] if parts else []
 
 
@@ -175,11 +176,11 @@ _MATCH = "doc_id long, item_id long, start_word long, matched long, item_words l
 class Anchors:
     """Passages of a piece of text around which an item can have `most` of its words, or its answer."""
 
-    def __init__(self, block: Block, weight: np.ndarray, most: float):
+    def __init__(self, block: Block, weight: np.ndarray, most: float, some: float):
         self.items = []  # words of the item, rows of its anchors, how many of them must stand near, rows of the answer, its rarest word
         for _, ws, ans in block.items:
             n, counts = len(ws), Counter(block.vocabulary[w] for w in ws)
-            missing = max(0, n - math.ceil(most * n))
+            missing = max(0, n - math.ceil((most if len(ans) >= 3 else min(most, some)) * n))  # answers of one or two words are too frequent to look up
             rows, size = [], 0
             for r in sorted(counts, key=lambda r: (-weight[r], r)):
                 if size >= min(n, missing + max(1, math.ceil(SPARE * n))):
@@ -236,7 +237,7 @@ def _search(sent, energy: float, cosine: float, most: float, some: float):
         z, of = queries(block, place)
         by_item = [np.flatnonzero(of == i) for i in range(len(block.items))]
         need = np.array([cosine * min(1.0, (len(ws) / WINDOW) ** 0.5) for _, ws, _ in block.items], np.float32)[of]
-        anchors = Anchors(block, weight, most)
+        anchors = Anchors(block, weight, most, some)
         for batch, texts in pieces(batches):
             split = [words(t) for t in texts]
             rows, stretch, first, every = _known(split, vocabulary, HALF)
@@ -287,7 +288,7 @@ def _search(sent, energy: float, cosine: float, most: float, some: float):
                 m = common(ws, region)
                 if had and had[3] >= m or m < some * len(ws):
                     continue
-                m_ans = bool(ans) and len(ans) >= 3 and (b" " + b" ".join(ans) + b" ") in (b" " + b" ".join(region) + b" ")
+                m_ans = bool(ans) and (b" " + b" ".join(ans) + b" ") in (b" " + b" ".join(region) + b" ")
                 if m >= most * len(ws) or m_ans:
                     c = float((z[by_item[i]] @ passages[np.searchsorted(near, p)]).max())
                     found[t, i] = (docs[t], item, at, m, len(ws), m / len(ws), c, m_ans, len(split[t]))

@@ -333,3 +333,14 @@ def test_windows_over_whole_item():
     words_ = [{f"w{j}" for j in np.flatnonzero(q)} for q in z]
     runs = [{f"w{j}" for j in range(i, i + 32)} for i in range(129)]
     assert set(of) == {0} and all(max(len(r & q) for q in words_) >= 24 for r in runs)
+
+
+@pytest.mark.parametrize("end", ["Yes.", "No. It is.", "Of 3.5."])
+def test_short_answers(spark, end):
+    text = prose(30) + ". " + end
+    ws = text.split()
+    half = [w if j % 5 < 3 or j > 27 else f"new{j}" for j, w in enumerate(ws)]
+    other = [w if j % 5 < 3 and j < 26 else f"new{j}" for j, w in enumerate(ws)]
+    frame = spark.createDataFrame([(1, " ".join(half)), (2, " ".join(other))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, text)], "item_id long, text string")
+    assert [(r.doc_id, r.answer_found) for r in latent.leaks(frame, bench).collect()] == [(1, True)]
