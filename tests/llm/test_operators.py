@@ -344,3 +344,16 @@ def test_short_answers(spark, end):
     frame = spark.createDataFrame([(1, " ".join(half)), (2, " ".join(other))], "doc_id long, text string")
     bench = spark.createDataFrame([(7, text)], "item_id long, text string")
     assert [(r.doc_id, r.answer_found) for r in latent.leaks(frame, bench).collect()] == [(1, True)]
+
+
+@pytest.mark.parametrize("top", [1, 12])
+def test_urls_beyond_the_words_sent(spark, top):
+    names = ["".join(RNG.choice(list("bcdfgklmnr"), 5)) for _ in range(60)]
+    rows = [(i, f"http://{names[i % 60]}-{names[(7 * i) % 60]}.net/{names[(3 * i) % 60]}/{i}") for i in range(200)]
+    rows += [(300 + i, f"http://viagra-{names[i]}{names[i + 1]}.com/{names[0]}") for i in range(5)] + [(400, None), (300, rows[0][1])]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+
+    def told(n):
+        return sorted((str(r.page_id), r.host, r.path, r.verdict, r.words, round(r.score, 9)) for r in urls.judge(pages, top=n).collect())
+
+    assert told(top) == told(50_000) and urls.judge(pages.where("1 = 0"), top=top).count() == 0
