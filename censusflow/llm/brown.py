@@ -1,14 +1,16 @@
 """Class-based bigram scoring with Brown classes from exchange clustering.
 
 Counting: one scan counts all words of the training texts; the counts are a table, and only the `top` most frequent
-words (a fixed number) are sent to every task. Each word has a unit: the `own` most frequent words and the end of a text
-are units of their own, all others share units by their last two bytes. A second scan counts neighbouring units over
-all training texts in a fixed-size matrix; exchange clustering on it puts units into classes.
+words (a fixed number) are sent to every task. Classes of the `own` most frequent words and the end of a text come from
+exchange clustering on a fixed-size matrix of neighbours, in which all other words stand by their last two bytes; that is
+only where the other words start. Then `rounds` rounds of exchange over all of these: the classes beside each word are
+counted by word, and each word goes to the class in which they are most likely, given the classes' own counts.
 
-Scoring: P(text) = product of P(class | class before) * P(word | class). Class terms and frequent words are scored where
-the text is read. Other words travel as packed postings to the bucket of their word, where their exact training counts
-are summed and their terms come back per block of texts. So counts of any number of words are exact and nothing that
-grows with the corpus is sent to every task.
+Texts travel as packed blocks. The other words of each block go to the bucket of their word, where their exact training
+counts and classes are looked up, and come back to the block. So counts and classes of any number of words are exact and
+nothing that grows with the corpus is sent to every task.
+
+Scoring: P(text) = product of P(class | class before) * P(word | class), summed where the block's text is.
 
 Base: log10((c + 0.1) / (N + 0.1 (V + 1))) summed over tokens. Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; each
 text ends with one end token, which is counted like a word.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from censusflow.llm.common import kept, partitions, pieces
 
-TOP, OWN, ENDINGS, CLASSES, SWEEPS = 50_000, 1_000, 256, 32, 12
+TOP, OWN, ENDINGS, CLASSES, SWEEPS, ROUNDS = 50_000, 1_000, 256, 32, 12, 2
 ADD = 0.1
 _END = b"\n"
 
@@ -58,16 +60,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens and distinct words of each ending, over counted words."""
-    sums = np.zeros((2, ENDINGS), np.int64)
-    for batch in batches:
-        e = np.array([ending(w) for w in batch.column("word").to_pylist()], np.int64)
-        sums[0] += np.bincount(e, batch.column("c").to_numpy(), ENDINGS).astype(np.int64)
-        sums[1] += np.bincount(e, minlength=ENDINGS)
-    yield pa.record_batch([pa.array(range(ENDINGS), pa.int32()), pa.array(sums[0]), pa.array(sums[1])], names=["ending", "c", "v"])
-
-
 class Reader:
     """Texts as top-word ids (-1: other) and units."""
 
@@ -169,195 +161,258 @@ class Model:
     counts: np.ndarray  # their training counts
     tokens: int  # N
     types: int  # V
-    of: np.ndarray  # class of each unit
-    step: np.ndarray  # log10 P(class | class before)
-    mass: np.ndarray  # log10 of each class's denominator
+    start: np.ndarray  # class of each unit
+    of: np.ndarray  # class of each word of `words`
+    step: np.ndarray | None = None  # log10 P(class | class before)
+    mass: np.ndarray | None = None  # log10 of each class's denominator
 
     def base(self, c):
         return np.log10((c + ADD) / (self.tokens + ADD * (self.types + 1)))
 
-    def emit(self, c, unit):
-        return np.log10(c + ADD) - self.mass[self.of[unit]]
 
+_BLOCK = "kind string, bucket int, block long, ids binary, held binary, words binary, classes binary, counts binary"
 
-def train(docs: DataFrame, top: int = TOP, own: int = OWN, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model, and the table of all word counts. docs: training texts only."""
-    spark = docs.sparkSession
-    texts = docs.select("text")
-    counts = kept(texts.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    best = counts.where(F.col("word") != F.lit(_END)).orderBy(F.desc("c"), "word").limit(top - 1).collect()
-    ends = counts.where(F.col("word") == F.lit(_END)).collect()
-    words = [_END, *(bytes(r["word"]) for r in best)]
-    have = np.array([ends[0]["c"] if ends else 0, *(r["c"] for r in best)], np.int64)
-    own = min(own, len(words))
-    units = own + ENDINGS
-    sent = spark.sparkContext.broadcast((words, own))
-    slices = texts.mapInArrow(_pairs(sent, units), "slice int, sums binary").repartition(32, "slice").mapInArrow(_add, "slice int, sums binary").collect()
-    parts = np.array_split(np.zeros(units * units, np.int64), 32)
-    for r in slices:
-        parts[r["slice"]] = parts[r["slice"]] + np.frombuffer(r["sums"], np.int64)
-    pairs = np.concatenate(parts).reshape(units, units)
-    of = exchange(pairs, classes)
-    member = np.eye(classes)[of]
-    n = member.T @ pairs @ member
-    prior = (n.sum(0) + 1) / (n.sum() + classes)
-    step = np.log10((n + prior) / (n.sum(1, keepdims=True) + 1))
-    by_end = counts.mapInArrow(_endings, "ending int, c long, v long").groupBy("ending").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()
-    tokens, types = np.zeros(units), np.zeros(units)
-    for r in by_end:
-        tokens[own + r["ending"]], types[own + r["ending"]] = r["c"], r["v"]
-    tokens[:own], types[:own] = have[:own], have[:own] > 0
-    for w, c in zip(words[:own], have[:own].tolist(), strict=True):  # counted under their endings too
-        if c:
-            tokens[own + ending(w)] -= c
-            types[own + ending(w)] -= 1
-    mass = np.log10(np.bincount(of, tokens, classes) + ADD * (np.bincount(of, types, classes) + 1))
-    return Model(words, own, have, total["n"], total["v"], of, step, mass), counts
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names = [c.split() for c in schema.split(", ")]
+    return pa.record_batch([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(names)], names=[n for n, _ in names])
 
 
-_BLOCK = "kind string, bucket int, block long, docs binary, held binary, sums binary, words binary, spans binary, rows binary, times binary"
+def _by_bucket(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+    by = np.argsort(of, kind="stable")
+    cut = np.searchsorted(of[by], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        yield b, by[cut[b] : cut[b + 1]]
 
 
-def _score(sent, buckets: int):
-    names = [c.split()[0] for c in _BLOCK.split(", ")]
-    types = [pa.string(), pa.int32(), pa.int64()] + [pa.binary()] * 7
+def _blocks(sent, buckets: int):
+    """Texts as blocks, and for each block the words it asks for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = sent.value
-        reader = Reader(m.words, m.own)
+        known = set(sent.value[0])
         block = TaskContext.get().partitionId() << 32
-        base, emit = m.base(m.counts), m.emit(m.counts, reader.unit)
         for batch, texts in pieces(batches):
-            ids, unit, text, other, at = reader.read(texts)
-            k = len(texts)
-            cls = m.of[unit]
-            before = np.concatenate(([m.of[0]], cls[:-1]))  # a text begins after the end of another one
-            seen = ids >= 0
-            sums = np.stack(
-                (
-                    np.bincount(text, minlength=k),
-                    np.bincount(text[seen], m.counts[ids[seen]] > 0, k),
-                    np.bincount(text[seen], base[ids[seen]], k),
-                    np.bincount(text, m.step[before, cls], k) + np.bincount(text[seen], emit[ids[seen]], k),
-                )
-            )
-            docs = batch.column("doc_id")
+            split = [t.lower().split() for t in texts]
             held = np.array(batch.column("held_out").to_pylist(), np.uint8)
-            ids_ = np.array([-(1 << 63) if x is None else x for x in docs.to_pylist()], np.int64)
-            rows: list[tuple] = [("doc", None, block, ids_.tobytes(), held.tobytes(), sums.tobytes(), None, None, None, None)]
-            if other:
-                place: dict[bytes, int] = {}
-                w = np.fromiter((place.setdefault(x, len(place)) for x in other), np.int64, len(other))
-                key, times = np.unique(w * k + text[at], return_counts=True)
-                word, row = key // k, key % k
-                vocabulary = list(place)
-                bucket = np.fromiter((zlib.crc32(x) % buckets for x in vocabulary), np.int64, len(vocabulary))
-                by = np.argsort(bucket[word], kind="stable")
-                word, row, times = word[by], row[by], times[by]
-                cut = np.searchsorted(bucket[word], np.arange(buckets + 1))
-                for b in range(buckets):
-                    lo, hi = int(cut[b]), int(cut[b + 1])
-                    if lo == hi:
-                        continue
-                    first = np.flatnonzero(np.concatenate(([True], np.diff(word[lo:hi]) != 0)))
-                    spans = np.diff(np.concatenate((first, [hi - lo])))
-                    names_ = b"\n".join([vocabulary[i] for i in word[lo:hi][first].tolist()])
-                    code = (row[lo:hi] * 2 + held[row[lo:hi]]).astype(np.uint32)
-                    rows.append(("tail", b, block, None, None, None, names_, spans.astype(np.uint32).tobytes(), code.tobytes(), times[lo:hi].astype(np.uint32).tobytes()))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            ids = np.array([-(1 << 63) if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
+            rows: list[tuple] = [("text", None, block, ids.tobytes(), held.tobytes(), b"\n".join(b" ".join(t) for t in split), None, None)]
+            ask = list({w for t in split for w in t} - known)
+            rows += [("ask", b, block, None, None, b" ".join([ask[i] for i in at.tolist()]), None, None) for b, at in _by_bucket(ask, buckets)]
+            yield _batch(rows, _BLOCK)
             block += 1
 
     return work
 
 
-def _bucket(sent):
-    """Exact counts of a bucket's words, then their terms summed per text of each block."""
-
-    def close(m: Model, blocks: list) -> Iterator[pa.RecordBatch]:
-        place: dict[bytes, int] = {}
-        read, known = [], np.zeros(0)
-        for block, words, spans, code, times in blocks:
-            w = [place.setdefault(x, len(place)) for x in words.split(b"\n")]
-            word = np.repeat(w, np.frombuffer(spans, np.uint32))
-            code, times = np.frombuffer(code, np.uint32).astype(np.int64), np.frombuffer(times, np.uint32).astype(np.int64)
-            read.append((block, word, code >> 1, code & 1, times))
-        known = np.zeros(len(place), np.int64)
-        for _, word, _, held, times in read:
-            known += np.bincount(word, times * (1 - held), len(place)).astype(np.int64)
-        unit = np.fromiter((m.own + ending(x) for x in place), np.int64, len(place))
-        base, emit = m.base(known), m.emit(known, unit)
-        for block, word, row, _, times in read:
-            k = int(row.max()) + 1
-            sums = np.stack((np.zeros(k), np.bincount(row, times * (known[word] > 0), k), np.bincount(row, times * base[word], k), np.bincount(row, times * emit[word], k)))
-            yield pa.record_batch([pa.array([block], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=["block", "docs", "held", "sums"])
+def _have(sent, buckets: int):
+    """Counted words that aren't sent, with classes, by bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, at, blocks = sent.value, None, []
+        known = set(sent.value.words)
         for batch in batches:
-            for b, *rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "words", "spans", "rows", "times")), strict=True):
-                if b != at and blocks:
-                    yield from close(m, blocks)
-                    blocks = []
-                at = b
-                blocks.append(rest)
-        if blocks:
-            yield from close(m, blocks)
+            words = batch.column("word").to_pylist()
+            keep = [i for i, w in enumerate(words) if w not in known]
+            words = [words[i] for i in keep]
+            c, cls = (batch.column(n).to_numpy()[keep] for n in ("c", "class"))
+            rows = [("a", b, None, None, None, b" ".join([words[i] for i in at.tolist()]), cls[at].astype(np.uint8).tobytes(), c[at].astype(np.int64).tobytes()) for b, at in _by_bucket(words, buckets)]
+            yield _batch(rows, _BLOCK)
 
     return work
 
 
-_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+def _answer(sent):
+    """Classes and counts of the words that blocks ask for; a bucket's counted words come first."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, now, have = sent.value, None, {}
+        for batch in batches:
+            rows = []
+            for kind, b, block, words, cls, c in zip(*(batch.column(n).to_pylist() for n in ("kind", "bucket", "block", "words", "classes", "counts")), strict=True):
+                if b != now:
+                    now, have = b, {}
+                split = words.split(b" ")
+                if kind == "a":
+                    have.update(zip(split, zip(cls, np.frombuffer(c, np.int64).tolist(), strict=True), strict=True))
+                    continue
+                found = [have[w] if w in have else (m.start[m.own + ending(w)], 0) for w in split]
+                rows.append(("answer", b, block, None, None, words, bytes([int(x) for x, _ in found]), np.array([x for _, x in found], np.int64).tobytes()))
+            yield _batch(rows, _BLOCK)
 
-def _join(tokens: int):
-    """Sum the parts of each block; rows of a block are neighbours."""
-
-    def close(docs, held, parts) -> pa.RecordBatch:
-        ids = np.frombuffer(docs, np.int64)
-        k = len(ids)
-        sums = np.zeros((4, k))
-        for p in parts:
-            p = np.frombuffer(p).reshape(4, -1)
-            sums[:, : p.shape[1]] += p
-        cols = [
-            pa.array(ids, mask=ids == -(1 << 63)),
-            pa.array(np.frombuffer(held, np.uint8).astype(bool)),
-            pa.array(sums[0].astype(np.int64)),
-            pa.array(sums[1].astype(np.int64)),
-            pa.array(np.full(k, tokens, np.int64)),
-            pa.array(sums[2]),
-            pa.array(sums[3]),
-            pa.array(10 ** np.minimum(300, -sums[3] / sums[0])),
-        ]
-        return pa.record_batch(cols, names=[c.split()[0] for c in _OUT.split(", ")])
+    return work
+
+
+def _each(sent, then):
+    """For each block: ids, held, its words, their texts, classes and counts."""
+
+    def close(m: Model, place: dict, text: tuple, answers: list):
+        names, cls, c = {}, [m.of], [m.counts]
+        for words, k, n in answers:
+            for w in words.split(b" "):
+                names[w] = len(m.words) + len(names)
+            cls.append(np.frombuffer(k, np.uint8))
+            c.append(np.frombuffer(n, np.int64))
+        cls, c = np.concatenate(cls), np.concatenate(c)
+        ids, held, texts = text
+        split = [t.split() for t in texts.split(b"\n")]
+        words = [w for t in split for w in (*t, _END)]
+        at = np.fromiter((place[w] if w in place else names[w] for w in words), np.int64, len(words))
+        of = np.repeat(np.arange(len(split)), [len(t) + 1 for t in split])
+        return np.frombuffer(ids, np.int64), np.frombuffer(held, np.uint8), [*m.words, *names], at, of, cls, c
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, docs, held, parts = None, None, None, []
+        m, now, text, answers = sent.value, None, None, []
+        place = {w: i for i, w in enumerate(m.words)}
         for batch in batches:
-            for b, d, h, s in zip(*(batch.column(c).to_pylist() for c in ("block", "docs", "held", "sums")), strict=True):
-                if b != at and parts:
-                    yield close(docs, held, parts)
-                    parts = []
-                at = b
-                if d is not None:
-                    docs, held = d, h
-                parts.append(s)
-        if parts:
-            yield close(docs, held, parts)
+            for kind, block, ids, held, *rest in zip(*(batch.column(n).to_pylist() for n in ("kind", "block", "ids", "held", "words", "classes", "counts")), strict=True):
+                if block != now and text is not None:
+                    yield from then(m, *close(m, place, text, answers))
+                    text, answers = None, []
+                now = block
+                if kind == "text":
+                    text = (ids, held, rest[0])
+                else:
+                    answers.append(rest)
+        if text is not None:
+            yield from then(m, *close(m, place, text, answers))
 
     return work
 
 
-def score(docs: DataFrame, held_out: Column, top: int = TOP, own: int = OWN, classes: int = CLASSES) -> DataFrame:
+_BESIDE = "word binary, beside binary"
+
+
+def _beside(classes: int, by_word: bool = True):
+    def then(m: Model, ids, held, names, at, of, cls, c) -> Iterator[pa.RecordBatch]:
+        """Classes after and before each word in training texts, packed as (code, times); those of all words under null."""
+        train = held[of] == 0
+        at, k = at[train], cls[at[train]].astype(np.int64)
+        if not len(at):
+            return
+        before = np.concatenate(([int(m.of[0])], k[:-1]))  # a text begins after the end of another one
+        after = np.append(k[1:], int(m.of[0]))
+        pairs = np.bincount(before * classes + k, minlength=classes * classes)
+        if not by_word:
+            yield _batch([(None, pairs.astype(np.int64).tobytes())], _BESIDE)
+            return
+        key, times = np.unique(np.concatenate((at * 2 * classes + after, at * 2 * classes + classes + before)), return_counts=True)
+        word = key // (2 * classes)
+        mine = word >= m.own
+        word, key, times = word[mine], key[mine], times[mine]
+        packed = np.stack((key % (2 * classes), times), 1).astype(np.uint32)
+        first = np.flatnonzero(np.concatenate(([True], np.diff(word) != 0))) if len(word) else np.zeros(0, np.int64)
+        ends = np.append(first[1:], len(word))
+        rows = [(None, pairs.astype(np.int64).tobytes())] + [(names[w], packed[i:j].tobytes()) for w, i, j in zip(word[first].tolist(), first.tolist(), ends.tolist(), strict=True)]
+        yield _batch(rows, _BESIDE)
+
+    return then
+
+
+def likely(n: np.ndarray) -> np.ndarray:
+    """What each class beside a word (after it, then before it) says for each class of the word, given class bigram counts."""
+    n = n + 0.01
+    return np.concatenate((np.log(n / n.sum(1, keepdims=True)).T, np.log(n / n.sum(0))))
+
+
+def _move(says: np.ndarray):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = []
+            for parts, had in zip(batch.column("beside").to_pylist(), batch.column("class").to_pylist(), strict=True):
+                x = np.frombuffer(b"".join(parts or ()), np.uint32).reshape(-1, 2)
+                gain = x[:, 1] @ says[x[:, 0]] if len(x) else np.zeros(says.shape[1])
+                new = int(gain.argmax())
+                best.append(new if gain[new] > gain[had] + 1e-9 else had)
+            yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(best, pa.int32())], names=["word", "c", "class"])
+
+    return work
+
+
+def train(docs: DataFrame, top: int, own: int, classes: int) -> tuple[Model, DataFrame]:
+    """The model with the classes to start from, and the table of all words, counts and classes. docs: training texts only."""
+    spark = docs.sparkSession
+    texts = docs.select("text")
+    counts = kept(texts.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    best = counts.where(F.col("word") != F.lit(_END)).orderBy(F.desc("c"), "word").limit(top - 1).collect()
+    ends = counts.where(F.col("word") == F.lit(_END)).collect()
+    words = [_END, *(bytes(r["word"]) for r in best)]
+    have = np.array([ends[0]["c"] if ends else 0, *(r["c"] for r in best)], np.int64)
+    own = min(own, len(words))
+    units = own + ENDINGS
+    sent = spark.sparkContext.broadcast((words, own))
+    slices = texts.mapInArrow(_pairs(sent, units), "slice int, sums binary").repartition(32, "slice").mapInArrow(_add, "slice int, sums binary").collect()
+    parts = np.array_split(np.zeros(units * units, np.int64), 32)
+    for r in slices:
+        parts[r["slice"]] = parts[r["slice"]] + np.frombuffer(r["sums"], np.int64)
+    start = exchange(np.concatenate(parts).reshape(units, units), classes)
+    model = Model(words, own, have, total["n"], total["v"], start, start[Reader(words, own).unit].astype(np.uint8))
+    sent = spark.sparkContext.broadcast(model)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        place = {w: i for i, w in enumerate(m.words)}
+        for batch in batches:
+            cls = [int(m.of[place[w]] if w in place else m.start[m.own + ending(w)]) for w in batch.column("word").to_pylist()]
+            yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(cls, pa.int32())], names=["word", "c", "class"])
+
+    return model, kept(counts.mapInArrow(begin, _TABLE), "classes")
+
+
+_TABLE = "word binary, c long, class int"
+_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+
+
+def _score(m: Model, ids, held, names, at, of, cls, c) -> Iterator[pa.RecordBatch]:
+    k, n, size = cls[at], c[at], len(ids)
+    before = np.concatenate(([m.of[0]], k[:-1]))
+    tokens = np.bincount(of, minlength=size)
+    terms = np.bincount(of, m.step[before, k] + np.log10(n + ADD) - m.mass[k], size)
+    cols = [
+        pa.array(ids, mask=ids == -(1 << 63)),
+        pa.array(held.astype(bool)),
+        pa.array(tokens),
+        pa.array(np.bincount(of, n > 0, size).astype(np.int64)),
+        pa.array(np.full(size, m.tokens, np.int64)),
+        pa.array(np.bincount(of, m.base(n), size)),
+        pa.array(terms),
+        pa.array(10 ** np.minimum(300, -terms / tokens)),
+    ]
+    yield pa.record_batch(cols, names=[x.split()[0] for x in _OUT.split(", ")])
+
+
+def score(docs: DataFrame, held_out: Column, top: int = TOP, own: int = OWN, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """Score all texts with a model of those where held_out is false."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    model, _ = train(rows.where("not held_out"), top, own, classes)
-    sent = spark.sparkContext.broadcast(model)
+    model, table = train(rows.where("not held_out"), top, own, classes)
     buckets = partitions(spark)
-    blocks = kept(rows.mapInArrow(_score(sent, buckets), _BLOCK), "blocks")
-    tail = blocks.where("kind = 'tail'").select("bucket", "block", "words", "spans", "rows", "times")
-    terms = tail.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket(sent), "block long, docs binary, held binary, sums binary")
-    every = blocks.where("kind = 'doc'").select("block", "docs", "held", "sums").unionByName(terms)
-    return every.repartition(buckets, "block").sortWithinPartitions("block").mapInArrow(_join(model.tokens), _OUT)
+    blocks = kept(rows.mapInArrow(_blocks(spark.sparkContext.broadcast((model.words,)), buckets), _BLOCK), "blocks")
+    place = {w: i for i, w in enumerate(model.words)}
+
+    def every(table: DataFrame, then, schema: str) -> DataFrame:
+        sent = spark.sparkContext.broadcast(model)
+        asked = blocks.where("kind = 'ask'").unionByName(table.mapInArrow(_have(sent, buckets), _BLOCK))
+        answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer(sent), _BLOCK)
+        both = blocks.where("kind = 'text'").unionByName(answers)
+        return both.repartition(buckets, "block").sortWithinPartitions("block").mapInArrow(_each(sent, then), schema)
+
+    def pairs(beside: DataFrame) -> np.ndarray:
+        found = beside.where("word is null").select(F.col("beside").alias("sums"), F.lit(0).alias("slice"))
+        return sum((np.frombuffer(r["sums"], np.int64) for r in found.mapInArrow(_add, "slice int, sums binary").collect() if r["sums"]), np.zeros(classes * classes)).reshape(classes, classes)
+
+    for _ in range(rounds):
+        beside = kept(every(table, _beside(classes), _BESIDE), "beside")
+        lists = beside.where("word is not null").groupBy("word").agg(F.collect_list("beside").alias("beside"))
+        table = kept(table.join(lists, "word", "left").select("word", "c", "class", "beside").mapInArrow(_move(likely(pairs(beside))), _TABLE), "classes")
+        for r in table.join(F.broadcast(spark.createDataFrame([(w,) for w in model.words], "word binary")), "word").collect():
+            model.of[place[bytes(r["word"])]] = r["class"]
+    n = pairs(every(table, _beside(classes, by_word=False), _BESIDE))
+    prior = (n.sum(0) + 1) / (n.sum() + classes)
+    model.step = np.log10((n + prior) / (n.sum(1, keepdims=True) + 1))
+    sums = np.zeros((2, classes))
+    for r in table.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        sums[:, r["class"]] = r["c"], r["v"]
+    model.mass = np.log10(sums[0] + ADD * (sums[1] + 1))
+    return every(table, _score, _OUT)

@@ -357,3 +357,11 @@ def test_urls_beyond_the_words_sent(spark, top):
         return sorted((str(r.page_id), r.host, r.path, r.verdict, r.words, round(r.score, 9)) for r in urls.judge(pages, top=n).collect())
 
     assert told(top) == told(50_000) and urls.judge(pages.where("1 = 0"), top=top).count() == 0
+
+
+def test_rare_words_get_classes_by_context(spark):
+    """Rare words of equal counts and endings score by what stands before them."""
+    rows = [(i, " ".join(f"left a{(i + j) % 30}zz right b{(i + j) % 30}zz" for j in range(30))) for i in range(60)]
+    frame = spark.createDataFrame([*rows, (1000, "left a3zz right b3zz"), (1001, "left b3zz right a3zz")], "doc_id long, text string")
+    got = {r.doc_id: r for r in brown.score(frame, F.col("doc_id") >= 1000, top=13, own=13, classes=16).collect()}
+    assert abs(got[1000].base_score - got[1001].base_score) < 1e-9 and got[1000].score > got[1001].score + 1
