@@ -1,7 +1,7 @@
 """Language by compression: the language whose zstandard dictionary makes a text smallest.
 
 Texts are read in lower case without ASCII signs and digits. Each language's dictionary is raw text of its own: slices of at most `texts` training texts (those with the smallest hash
-of doc_id), `size` bytes in all. A text is cut into blocks that cover all of it, each is compressed with each
+of doc_id), `size` bytes in all, shared among them. A text is cut into blocks that cover all of it, each is compressed with each
 dictionary, and the sizes are summed. The margin is how much larger the second-best sum is; texts whose margin is below
 `narrow` are marked as not accepted.
 
@@ -61,7 +61,18 @@ def dictionaries(docs: DataFrame, size: int = SIZE, texts: int = TEXTS) -> dict[
         return {}
     found = docs.select("doc_id", "text", "lang").join(F.broadcast(picked.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text")
     parts = sorted(found.mapInArrow(_slices(max(300, 2 * size // texts)), "lang string, doc_id long, part binary").collect(), key=lambda r: (r["lang"], r["doc_id"] or 0, bytes(r["part"])))
-    return {lang: b"\n".join(bytes(r["part"]) for r in parts if r["lang"] == lang)[-size:] for lang in langs}
+    return {lang: shared([bytes(r["part"]) for r in parts if r["lang"] == lang], size) for lang in langs}
+
+
+def shared(parts: list[bytes], size: int) -> bytes:
+    """All parts in `size` bytes; each is cut to an equal share, and what short ones leave goes to the others."""
+    left, room = len(parts), size - len(parts) + 1  # line breaks between them
+    keep = [0] * len(parts)
+    for i in sorted(range(len(parts)), key=lambda i: len(parts[i])):
+        keep[i] = min(len(parts[i]), max(0, room) // left)
+        room -= keep[i]
+        left -= 1
+    return b"\n".join(t[:n] for t, n in zip(parts, keep, strict=True))[:size]
 
 
 class Compressors:

@@ -365,3 +365,9 @@ def test_rare_words_get_classes_by_context(spark):
     frame = spark.createDataFrame([*rows, (1000, "left a3zz right b3zz"), (1001, "left b3zz right a3zz")], "doc_id long, text string")
     got = {r.doc_id: r for r in brown.score(frame, F.col("doc_id") >= 1000, top=13, own=13, classes=16).collect()}
     assert abs(got[1000].base_score - got[1001].base_score) < 1e-9 and got[1000].score > got[1001].score + 1
+
+
+def test_every_picked_text_is_in_the_dictionary(spark):
+    rows = [(i, f"{VOCABULARY[i]}qx " * 100, "aa") for i in range(40)]
+    (raw,) = langid.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), size=2000, texts=40).values()
+    assert len(raw) <= 2000 and all(f"{VOCABULARY[i]}qx".encode() in raw for i in range(40))
