@@ -5,16 +5,23 @@
 2. A second scan sorts each set by (cell count in log steps, hash), rare first. Two sets that link share an n-gram among
    their first |x| - ceil(0.85 |x|) + 1. Entries (n-gram, set digest, size, position) travel as packed blocks, so equal
    sets count once and a bucket is a few arrays.
-3. Within a bucket, n-grams of at most `hub` sets give all pairs that the length and positional filters let through.
-   Larger groups give pairs with their hubs and neighbours in order of size only, and are kept. Rounds of more hub pairs,
-   only between sets whose components still differ, join most of such a group; at last all pairs of kept groups whose ends
-   still lie in different components are made and verified too. So no link between components is lost, and near copies by
-   the thousand don't give all their pairs.
-4. Pairs pass the suffix filter (an upper bound of the overlap by the histograms) once, then the texts are compared.
+3. Within a bucket, n-grams of at most `hub` sets give all pairs that the length and positional filters let through;
+   the suffix filter (an upper bound of the overlap by the histograms) sees each pair once, then the texts are compared.
+4. Larger groups make no pairs. Their sets travel once to each bucket of groups that needs them and are compared there by
+   an index of their n-grams, labels of a union-find beside them: what already hangs together isn't compared, and only
+   links that join two components leave the task, fewer than the group has sets. The first round groups each set by its
+   rarest such n-gram alone, which joins most copies; the second takes all groups whose sets still lie in different
+   components, and compares a pair only at the first n-gram it shares, so each pair is compared once. Groups too large
+   for one task are cut into blocks of sets, and tasks take pairs of blocks.
+5. An n-gram whose hash cell holds far more than its share goes past the buckets straight to step 4.
+
+Neither `hub` nor the block size changes a result. Sets are told apart by two 64-bit digests and compared by 64-bit hashes
+of their n-grams.
 
 Defined cases: null or blank text has an empty set and links with nothing; a text of fewer words than n has one n-gram;
-equal sets always link; rows with a null doc_id are left out; repeated rows give one row each. Sets are told apart by
-64-bit n-gram hashes and 128-bit set digests.
+equal sets always link; a row with a null doc_id keeps its count, links with nothing and has a null component; repeated
+rows give one row each; of texts that share a doc_id each brings its links to that id; columns beside doc_id and text are
+left out; an empty table gives an empty result. A very long text is one step of its own in a task.
 """
 
 from __future__ import annotations
@@ -23,13 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from censusflow.llm.common import Words, components, kept, mix, partitions, pieces
 
-N, PERCENT, HUB, ROUNDS = 4, 85, 64, 3
+N, PERCENT, HUB = 4, 85, 64
 CELLS, RANGES = 18, 64
+#: Prefix entries of a bucket, and n-gram hashes of a block of sets, on average.
+ENTRIES, BLOCK = 1 << 21, 1 << 20
+SECOND = 0x9E3779B97F4A7C15  # salt of the second digest
 _U = np.uint64
 
 
@@ -69,7 +79,7 @@ def _scan(n: int):
             some = True
             every = np.concatenate(sets)
             cells += np.bincount((every >> _U(64 - CELLS)).astype(np.int64), minlength=1 << CELLS).astype(np.uint32)
-            s1, s2 = [digest(x) for x in sets], [digest(x, 0x9E3779B97F4A7C15) for x in sets]
+            s1, s2 = [digest(x) for x in sets], [digest(x, SECOND) for x in sets]
             hist = [np.bincount(((x >> _U(20)) & _U(RANGES - 1)).astype(np.int64), minlength=RANGES).astype(np.int32).tobytes() for x in sets]
             k = len(sets)
             yield pa.record_batch(
@@ -96,47 +106,58 @@ def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "cells"])
 
 
-def cell_steps(scan: DataFrame) -> np.ndarray:
-    """Counts of all cells in 256 steps of an eighth of a doubling: the order that rare-first sorting needs. Fixed size."""
+def cell_steps(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all cells in 256 steps of an eighth of a doubling, the order that rare-first sorting needs, and which hold
+    over 16 times their share and over a bucket's entries. Fixed size."""
     spark = scan.sparkSession
     parts = scan.where("slice is not null").select("slice", "cells").repartition(min(64, partitions(spark)), "slice").mapInArrow(_add_cells, "slice int, cells binary").collect()
     cells = np.zeros((64, (1 << CELLS) // 64), np.uint64)
     for p in parts:
         cells[p["slice"]] += np.frombuffer(p["cells"], np.uint64)
-    return np.minimum(255, 8 * np.log2(cells.ravel().astype(np.float64) + 1)).astype(np.uint64)
+    count = cells.ravel().astype(np.float64)
+    return np.minimum(255, 8 * np.log2(count + 1)).astype(np.uint64), count > max(ENTRIES, 16 * count.mean())
 
 
 _BLOCK = "bucket int, tokens binary, sets binary, sizes binary, places binary"
 
 
-def _prefixes(n: int, percent: int, steps, buckets: int):
+def in_order(x: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set's hashes, rare first, and the hashes in that order. Keys are not negative as signed numbers."""
+    key = (steps[(x >> _U(64 - CELLS)).astype(np.int64)] << _U(55)) | (mix(x) >> _U(9))
+    by = np.argsort(key, kind="stable")
+    return key[by], x[by]
+
+
+def _prefixes(n: int, percent: int, sent, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = steps.value
+        steps, hot = sent.value
         for _, texts in pieces(batches):
-            tokens, sets, sizes, places, seen = [], [], [], [], set()
+            tokens, sets, sizes, places, past, seen = [], [], [], [], [], set()
             for x in shingles(texts, n):
                 if not len(x):
                     continue
-                s = digest(x)
+                s = digest(x), digest(x, SECOND)
                 if s in seen:
                     continue
                 seen.add(s)
-                key = np.sort((order[(x >> _U(64 - CELLS)).astype(np.int64)] << _U(56)) | (mix(x) >> _U(8)))
+                key, x = in_order(x, steps)
                 p = len(x) - (percent * len(x) + 99) // 100 + 1
                 tokens.append(key[:p])
-                sets.append(np.full(p, s, np.int64))
+                past.append(hot[(x[:p] >> _U(64 - CELLS)).astype(np.int64)])
+                sets.append(np.full(p, s[0], np.int64))
                 sizes.append(np.full(p, len(x), np.int32))
                 places.append(np.arange(p, dtype=np.int32))
             if not tokens:
                 continue
-            t, s, z, q = (np.concatenate(a) for a in (tokens, sets, sizes, places))
+            t, s, z, q, h = (np.concatenate(a) for a in (tokens, sets, sizes, places, past))
             bucket = (mix(t) % _U(buckets)).astype(np.int64)
+            bucket[h] = -1 - (mix(s[h].view(np.uint64)) % _U(buckets)).astype(np.int64)
             by = np.lexsort((t, bucket))
-            t, s, z, q = t[by], s[by], z[by], q[by]
-            cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            keep = [b for b in range(buckets) if cut[b + 1] > cut[b]]
+            t, s, z, q, bucket = t[by], s[by], z[by], q[by], bucket[by]
+            keep, cut = np.unique(bucket, return_index=True)
+            cut = np.append(cut, len(bucket)).tolist()
             yield pa.record_batch(
-                [pa.array(keep, pa.int32())] + [pa.array([a[cut[b] : cut[b + 1]].tobytes() for b in keep], pa.binary()) for a in (t, s, z, q)],
+                [pa.array(keep, pa.int32())] + [pa.array([a[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for a in (t, s, z, q)],
                 names=[c.split()[0] for c in _BLOCK.split(", ")],
             )
 
@@ -146,7 +167,7 @@ def _prefixes(n: int, percent: int, steps, buckets: int):
 _PAIR = "token long, a long, b long, size int, place int"
 
 
-def _pair_batch(kind: str, token, a, b, size, place):
+def _pair_batch(token, a, b, size, place):
     k = len(a)
     cols = [token, a, b, size, place]
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
@@ -163,16 +184,21 @@ def _through(x, y, size, place, percent):
 def _meet(percent: int, hub: int):
     """Pairs of a bucket (token null), and the members of groups of over `hub` sets (b null)."""
 
-    def bucket(blocks) -> Iterator[pa.RecordBatch]:
+    def bucket(blocks, past: bool) -> Iterator[pa.RecordBatch]:
         t, s, z, q = (np.concatenate([np.frombuffer(b[i], d) for b in blocks]) for i, d in enumerate((np.uint64, np.int64, np.int32, np.int32)))
-        by = np.lexsort((s, z, t))
+        by = np.lexsort((q, s, z, t))
         t, s, z, q = t[by], s[by], z[by], q[by]
-        fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])))
+        fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (s[1:] != s[:-1]) | (z[1:] != z[:-1]) | (q[1:] != q[:-1])))
         t, s, z, q = t[fresh], s[fresh], z[fresh], q[fresh]
         head = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         count = np.diff(np.concatenate((head, [len(t)])))
-        xs, ys = [], []
+        large = np.repeat((count > hub) | past, count)
+        if large.any():
+            yield _pair_batch(t[large].view(np.int64), s[large], None, z[large], q[large])
+        if past:
+            return
         # all pairs of small groups, all groups at once by distance in the group
+        xs, ys = [], []
         small = np.repeat((count > 1) & (count <= hub), count)
         last = np.repeat(head + count - 1, count)
         for gap in range(1, min(hub, int(count.max(initial=1)))):
@@ -182,25 +208,10 @@ def _meet(percent: int, hub: int):
             ok = _through(x, x + gap, z, q, percent)
             xs.append(x[ok])
             ys.append(x[ok] + gap)
-        big = np.flatnonzero(count > hub)
-        for g in big:
-            i = np.arange(head[g], head[g] + count[g])
-            top = 0
-            hubs = np.empty(len(i), np.int64)
-            for j in range(len(i)):  # the hub is the smallest set that is long enough
-                if 100 * int(z[i[top]]) < percent * int(z[i[j]]):
-                    top = j
-                hubs[j] = i[top]
-            for x, y in ((hubs, i), (i[:-1], i[1:])):
-                x, y = x[x != y], y[x != y]
-                ok = _through(x, y, z, q, percent)
-                xs.append(x[ok])
-                ys.append(y[ok])
-            yield _pair_batch("", t[i].view(np.int64), s[i], None, z[i], q[i])
         if xs:
             x, y = np.concatenate(xs), np.concatenate(ys)
             pairs = np.unique(np.stack((np.minimum(s[x], s[y]), np.maximum(s[x], s[y])), 1), axis=0)
-            yield _pair_batch("", None, pairs[:, 0], pairs[:, 1], None, None)
+            yield _pair_batch(None, pairs[:, 0], pairs[:, 1], None, None)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, blocks = None, []
@@ -208,54 +219,140 @@ def _meet(percent: int, hub: int):
             cols = [batch.column(c).to_pylist() for c in ("bucket", "tokens", "sets", "sizes", "places")]
             for b, *block in zip(*cols, strict=True):
                 if b != at and blocks:
-                    yield from bucket(blocks)
+                    yield from bucket(blocks, at < 0)
                     blocks = []
                 at = b
                 blocks.append(block)
         if blocks:
-            yield from bucket(blocks)
+            yield from bucket(blocks, at < 0)
 
     return work
 
 
-def _cross(percent: int, hubs: int = 0, salt: int = 0):
-    """Near pairs of kept groups whose components differ: all of them, or those with `hubs` members picked by hash.
+class Union:
+    """Union-find over the components that a bucket has met; the smaller name stands for both."""
 
-    Rows come sorted by token and bring their histograms, so the suffix filter works here, before a pair is made.
-    """
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, c: int) -> int:
+        while (d := self.up.get(c, c)) != c:
+            self.up[c] = c = self.up.get(d, d)
+        return c
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
 
-    def group(rows) -> Iterator[pa.RecordBatch]:
-        s, z, q, c = (np.array(a) for a in list(zip(*rows, strict=True))[:4])
-        names, count = np.unique(c, return_counts=True)
-        if len(names) < 2:
+
+def group_links(sets: list[np.ndarray], place: np.ndarray, component: np.ndarray, side: np.ndarray | None, met: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
+    """Links (places of two sets in the group) that join components of a group whose n-gram stands at `place` in each set.
+
+    A set outside the largest component is compared with all that lie in other components: overlaps come from an index of
+    the group's n-grams, one count for all. `component` is brought up to date in place. side: only sets of different sides
+    are compared. met: sets compared with each other before; then pairs that share an earlier n-gram are left out as well.
+    """
+    s = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    first = np.concatenate(([0], np.cumsum(size)))
+    gram, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(s), size)[np.argsort(inverse, kind="stable")]
+    cut = np.concatenate(([0], np.cumsum(np.bincount(inverse, minlength=len(gram)))))
+    done = np.zeros(s, bool)
+
+    def overlaps(grams: np.ndarray) -> np.ndarray:
+        lo, n = cut[grams], cut[grams + 1] - cut[grams]
+        many = n > 1
+        lo, n = lo[many], n[many]
+        if not len(n):
+            return np.zeros(s, np.int64)
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+        return np.bincount(owner[at], minlength=s)
+
+    while True:
+        names, code, count = np.unique(component, return_inverse=True, return_counts=True)
+        open_ = np.flatnonzero(~done & (code != count.argmax()))
+        if len(names) < 2 or not len(open_):
             return
-        h = np.frombuffer(b"".join(r[4] for r in rows), np.int32).reshape(-1, RANGES)
-        if hubs:
-            first = np.argsort(mix(s.view(np.uint64) + _U(salt)))[:hubs]
-        else:
-            first = np.flatnonzero(c != names[count.argmax()])
-        done = np.zeros(len(s), bool)
-        for i in first.tolist():  # one member against the rest: memory stays that of the group
-            done[i] = True
-            y = np.flatnonzero((c != c[i]) & ~done)
-            x = np.full(len(y), i)
-            y = y[_through(x, y, z, q, percent)]
-            y = y[np.minimum(h[i], h[y]).sum(1, dtype=np.int64) >= needed(int(z[i]), z[y].astype(np.int64), percent)]
-            if len(y):
-                yield _pair_batch("", None, np.minimum(s[i], s[y]), np.maximum(s[i], s[y]), None, None)
+        for x in open_.tolist():
+            joined = False
+            done[x] = True
+            y = ~done & (component != component[x])
+            if side is not None:
+                y &= side != side[x]
+            if met is not None and met[x]:
+                y &= ~met
+            y = np.flatnonzero(y)
+            y = y[_through(np.full(len(y), x), y, size, place, percent)]
+            if len(y) and met is not None and place[x]:
+                y = y[overlaps(inverse[first[x] : first[x] + place[x]])[y] == 0]
+            if not len(y):
+                continue
+            both = overlaps(inverse[first[x] : first[x + 1]])[y]
+            y = y[100 * both >= percent * (size[x] + size[y] - both)]
+            for c in np.unique(component[y]).tolist():
+                yield x, int(y[np.flatnonzero(component[y] == c)[0]])
+                joined = True
+            if joined:
+                component[np.isin(component, component[y])] = component[x]
+                break  # the largest component may be another one now
+
+
+_HOT = "bucket int, kind int, token long, i int, j int, id long, place int, component long, side int, met boolean, grams binary"
+
+
+def _settle(percent: int, first: bool):
+    """Links of buckets of large groups. Rows of a bucket: its sets, then its groups one after another."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, rows = None, []
+        bucket, sets, key, rows, union = None, {}, None, [], Union()
+
+        def group() -> Iterator[pa.RecordBatch]:
+            ids, place, component, side, met = (np.array(c) for c in zip(*rows, strict=True))
+            component = np.array([union.find(c) for c in component.tolist()])
+            if (component == component[0]).all():
+                return
+            before = component.copy()
+            off = key[1] != key[2]
+            links = list(group_links([sets[i] for i in ids.tolist()], place, component, side if off else None, None if first else met, percent))
+            if links:
+                a, b = np.array(links).T
+                for x, y in links:
+                    union.join(int(before[x]), int(before[y]))
+                yield _pair_batch(None, np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), None, None)
+
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("token", "set", "size", "place", "component", "hist")]
-            for t, *row in zip(*cols, strict=True):
-                if t != token and rows:
-                    yield from group(rows)
+            cols = [batch.column(c.split()[0]).to_pylist() for c in _HOT.split(", ")]
+            for b, kind, t, i, j, id_, place, component, side, met, grams in zip(*cols, strict=True):
+                if (b, t, i, j) != (bucket, *(key or (None,) * 3)) and rows:
+                    yield from group()
                     rows = []
-                token = t
-                rows.append(row)
+                if b != bucket:
+                    bucket, sets, union = b, {}, Union()
+                if kind == 0:
+                    sets[id_] = np.frombuffer(grams, np.uint64)
+                    key = None
+                else:
+                    key = (t, i, j)
+                    rows.append((id_, place, component, side, met))
         if rows:
-            yield from group(rows)
+            yield from group()
+
+    return work
+
+
+def _ordered(n: int, sent):
+    """Hashes of sets, rare first, of the texts that have the digests asked for."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps, _ = sent.value
+        for batch, texts in pieces(batches):
+            sets = shingles(texts, n)
+            keep = [i for i, (x, s1, s2) in enumerate(zip(sets, batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True)) if digest(x) == s1 and digest(x, SECOND) == s2]
+            yield pa.record_batch(
+                [batch.column("id").take(pa.array(keep, pa.int64())), pa.array([in_order(sets[i], steps)[1].tobytes() for i in keep], pa.binary())],
+                names=["id", "grams"],
+            )
 
     return work
 
@@ -280,59 +377,80 @@ def _verify(n: int, percent: int):
         last, mine = None, None
         for batch in batches:
             ok = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
+            for x, y, *want in zip(*(batch.column(c).to_pylist() for c in ("text_a", "text_b", "s1_a", "s2_a", "s1_b", "s2_b")), strict=True):
                 if x != last:
                     last, mine = x, shingles([x.encode()], n)[0]
                 other = shingles([y.encode()], n)[0]
                 both = len(np.intersect1d(mine, other, assume_unique=True))
-                ok.append(100 * both >= percent * (len(mine) + len(other) - both) and digest(mine) == a and digest(other) == b)
+                ok.append(100 * both >= percent * (len(mine) + len(other) - both) and [digest(mine), digest(mine, SECOND), digest(other), digest(other, SECOND)] == want)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return work
 
 
-def similar(docs: DataFrame, n: int = N, percent: int = PERCENT, hub: int = HUB) -> DataFrame:
+def _settled(entries: DataFrame, sets: DataFrame, percent: int, block: int, first: bool) -> DataFrame:
+    """Links of large groups. entries: token, id, place, size, component, met; sets: id, grams."""
+    parts = partitions(entries.sparkSession)
+    stats = entries.groupBy("token").agg(F.sum("size").alias("z"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    stats = kept(stats.select("token", (F.floor(F.col("z") / block) + 1).cast("int").alias("blocks"), "z"), "groups")
+    total = stats.agg(F.coalesce(F.sum(F.col("z") * F.col("blocks")), F.lit(0)).alias("z")).first()["z"]
+    buckets = max(parts, total // block + 1)
+    rows = entries.join(stats.drop("z"), "token").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("token", "id", "place", "component", "met", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    rows = kept(rows.withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(buckets)).cast("int")), "entries")
+    null = F.lit(None)
+    members = rows.select("bucket", F.lit(1).alias("kind"), "token", "i", "j", "id", "place", "component", "side", "met", null.cast("binary").alias("grams"))
+    needed_ = rows.select("bucket", "id").distinct().join(sets, "id")
+    carried = needed_.select("bucket", F.lit(0).alias("kind"), null.cast("long").alias("token"), null.cast("int").alias("i"), null.cast("int").alias("j"), "id", null.cast("int").alias("place"), null.cast("long").alias("component"), null.cast("int").alias("side"), null.cast("boolean").alias("met"), "grams")
+    both = kept(carried.unionByName(members), "hot")
+    return kept(both.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "token", "i", "j").mapInArrow(_settle(percent, first), _PAIR).select("a", "b"), "links")
+
+
+def similar(docs: DataFrame, n: int = N, percent: int = PERCENT, hub: int = HUB, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, of sets with 100 |x & y| >= percent |x | y|."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    docs = docs.select("doc_id", "text")
     scan = kept(docs.mapInArrow(_scan(n), _SCAN), "sets")
-    sets = scan.where("slice is null")
+    sets = scan.where("slice is null").drop("slice", "cells")
     steps = spark.sparkContext.broadcast(cell_steps(scan))
-    buckets = partitions(spark)
+    docs = docs.where("doc_id is not null")
+    # a set's number is that of its row in the table that is kept, and its document the smallest doc_id that has it
+    reps = sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", "hist", "n"), "doc_id").alias("r")).select("s1", "s2", "r.*")
+    reps = kept(reps.withColumnRenamed("doc_id", "doc").withColumn("id", F.monotonically_increasing_id()), "reps")
+    size = reps.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0)).alias("e")).first()["e"]
+    buckets = max(partitions(spark), int(size // ENTRIES) + 1)
     blocks = docs.mapInArrow(_prefixes(n, percent, steps, buckets), _BLOCK)
-    met = kept(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(percent, hub), _PAIR), "pairs")
-    reps = kept(sets.where("n > 0").groupBy("s1").agg(F.min_by(F.struct("doc_id", "hist"), "doc_id").alias("r")).select(F.col("s1").alias("set"), "r.doc_id", "r.hist"), "reps")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs that the suffix filter lets through."""
-        left = reps.select(F.col("set").alias("a"), F.col("hist").alias("hist_a"))
-        right = reps.select(F.col("set").alias("b"), F.col("hist").alias("hist_b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "hist_a", "hist_b").mapInArrow(_suffix(percent), "a long, b long")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs of sets that do link."""
-        pairs = kept(pairs, "near")
-        wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(reps.select("set", "doc_id"), "set")
-        texts = kept(docs.join(wanted, "doc_id").select("set", "text"), "texts")
-        full = pairs.join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
-        return kept(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, percent), "a long, b long"), "links")
-
-    links = verified(near(met.where("token is null").select("a", "b").distinct()))
-    groups = met.where("token is not null").select("token", F.col("a").alias("set"), "size", "place")
-    if not groups.isEmpty():
-        groups = kept(groups.join(reps.select("set", "hist"), "set"), "groups")
-        for hubs, salt in (*((6, r) for r in range(1, 1 + ROUNDS)), (0, 0)):
+    met = kept(blocks.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(percent, hub), _PAIR), "pairs")
+
+    left = reps.select(F.col("s1").alias("a"), F.col("id").alias("x"), F.col("hist").alias("hist_a"))
+    right = reps.select(F.col("s1").alias("b"), F.col("id").alias("y"), F.col("hist").alias("hist_b"))
+    pairs = met.where("token is null").select("a", "b").distinct().join(left, "a").join(right, "b")
+    near = kept(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "hist_a", "hist_b").mapInArrow(_suffix(percent), "a long, b long"), "near")
+    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct().join(reps.select("id", "s1", "s2", "doc"), "id")
+    texts = kept(docs.join(wanted, docs.doc_id == wanted.doc).select("id", "s1", "s2", "text"), "texts")
+
+    def side(k: str) -> DataFrame:
+        return texts.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("s1", "s2", "text")])
+
+    full = near.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b", "s1_a", "s2_a", "s1_b", "s2_b")
+    links = kept(full.mapInArrow(_verify(n, percent), "a long, b long"), "links")
+
+    large = met.where("token is not null")
+    if not large.isEmpty():
+        names = reps.select(F.col("s1").alias("a"), F.col("n").cast("int").alias("size"), "id")
+        large = large.join(names, ["a", "size"]).select("token", "id", "size", "place")
+        rarest = F.min("token").over(Window.partitionBy("id")) == F.col("token")
+        large = kept(large.withColumn("met", rarest), "large")
+        asked = large.select("id").distinct().join(reps.select("id", "s1", "s2", "doc"), "id")
+        grams = kept(docs.join(asked, docs.doc_id == asked.doc).select("id", "s1", "s2", "text").mapInArrow(_ordered(n, steps), "id long, grams binary"), "grams")
+        for first in (True, False):
             label = components(links)
-            named = groups.join(label, groups.set == label.id, "left").select("token", "set", "size", "place", F.coalesce("component", "set").alias("component"), "hist")
-            mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-            # kept first: Spark would otherwise take the join's own exchange for this one, and read it in other parts
-            rows = kept(named.join(mixed, "token"), "mixed")
-            rest = rows.repartition(buckets, "token").sortWithinPartitions("token").mapInArrow(_cross(percent, hubs, salt), _PAIR)
-            links = links.unionByName(verified(rest.select("a", "b").distinct()))
-    named = reps.select("set", "doc_id")
-    ends = links.join(named.withColumnsRenamed({"set": "a", "doc_id": "x"}), "a").join(named.withColumnsRenamed({"set": "b", "doc_id": "y"}), "b")
-    label = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    final = named.join(label, named.doc_id == label.id, "left").select(F.col("set").alias("s1"), F.coalesce("component", "doc_id").alias("component"))
-    out = sets.join(final, "s1", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-
+            named = (large.where("met") if first else large).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            links = links.unionByName(_settled(named, grams, percent, block, first))
+    named = reps.select("id", "doc")
+    ends = links.join(named.withColumnsRenamed({"id": "a", "doc": "x"}), "a").join(named.withColumnsRenamed({"id": "b", "doc": "y"}), "b")
+    same = sets.where("n > 0 and doc_id is not null").join(reps.select("s1", "s2", "doc"), ["s1", "s2"]).where("doc <> doc_id").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+    label = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).union(same))
+    out = sets.join(label, sets.doc_id == label.id, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -94,31 +94,79 @@ def test_jaccard(spark, docs, none, hub, parts):
                     label[a] = label[b] = min(label[a], label[b])
     try:
         got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(docs, hub=hub).collect()}
-        assert got == {(i, len(sets[i]), label[i]) for i in sets}
+        assert got == {(i, len(sets[i]), label[i]) for i in sets} | {(None, 77, None)}
         assert jaccard.similar(none).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 8)
 
 
-def test_near_copies_by_the_hundred(spark):
-    """Many near copies of one text: components as by brute force whatever the number of partitions."""
-    rows, words = [], prose(120).split()
+def brute_components(rows, n=4, percent=85):
+    """Component of each document by comparing all pairs."""
+    sets = {i: {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} for i, t in rows for w in [t.split()]}
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if b < a and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while True:
+        before = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return label, links
+
+
+@pytest.mark.parametrize("hub,block,parts", [(8, 1 << 20, 2), (8, 3000, 29), (1, 700, 5)])
+def test_near_copies_by_the_hundred(spark, hub, block, parts):
+    """Near copies of one text, of which many don't link, with a passage that unlike texts share."""
+    words = prose(120).split()
+    rows = []
     for i in range(160):
         w = list(words)
-        for _ in range(int(RNG.integers(0, 5))):
+        for _ in range(int(RNG.integers(0, 9))):
             w[int(RNG.integers(0, 120))] = str(RNG.choice(VOCABULARY))
         rows.append((i, " ".join(w)))
-    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(117)} for i, t in rows}
-    label = {i: i for i in sets}
-    links = [(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
-    for _ in range(20):
+    rows += [(200 + i, prose(int(RNG.integers(1, 30))) + " " + " ".join(words[:25])) for i in range(60)]
+    label, links = brute_components(rows)
+    assert 30 < len(set(label.values())) < 200
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in jaccard.similar(frame, hub=hub, block=block).collect()} == label
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+def test_large_groups_emit_few_links_and_compare_a_pair_once():
+    words = [f"w{i}" for i in range(150)]
+    sets, seen = [], Counter()
+    for i in range(60):
+        w = list(words)
+        for j in RNG.choice(150, int(RNG.integers(0, 9)), replace=False):
+            w[j] = f"x{i}.{j}"
+        sets.append(jaccard.shingles([" ".join(w).encode()], 4)[0])
+    steps = np.zeros(1 << jaccard.CELLS, np.uint64)
+    sets = [jaccard.in_order(x, steps)[1] for x in sets]
+    groups: dict[int, list] = {}
+    for i, x in enumerate(sets):
+        for place, g in enumerate(x[: len(x) - (85 * len(x) + 99) // 100 + 1].tolist()):
+            groups.setdefault(g, []).append((i, place))
+    found = set()
+    for members in groups.values():
+        ids, place = (np.array(c) for c in zip(*members, strict=True))
+        label = ids.copy()
+        links = list(jaccard.group_links([sets[i] for i in ids], place, label, None, np.zeros(len(ids), bool), 85))
+        assert len(links) < max(1, len(ids))
         for a, b in links:
-            label[a] = label[b] = min(label[a], label[b])
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for parts in (2, 29):
-        spark.conf.set("spark.sql.shuffle.partitions", parts)
-        assert {r.doc_id: r.component_id for r in jaccard.similar(frame, hub=8).collect()} == label
-    spark.conf.set("spark.sql.shuffle.partitions", 8)
+            seen[tuple(sorted((int(ids[a]), int(ids[b]))))] += 1
+        found.update(seen)
+    every = {(a, b) for a in range(60) for b in range(a + 1, 60) if 100 * len(both := set(sets[a].tolist()) & set(sets[b].tolist())) >= 85 * (len(sets[a]) + len(sets[b]) - len(both))}
+    assert found <= every and max(seen.values()) == 1
+
+    def roots(links):
+        u = jaccard.Union()
+        for a, b in links:
+            u.join(a, b)
+        return [u.find(i) for i in range(60)]
+
+    assert roots(found) == roots(every)
 
 
 def test_components(spark):
