@@ -4,7 +4,7 @@ The library splits a text at fixed places before it merges, so pieces cut at suc
 texts of printable Latin characters, tabs and line breaks such places are known: before a single space between words
 (byte-level vocabulary), or at any white space (word vocabulary, which also lets texts be put in lower case first, and new
 words be cut from the signs after them). All other texts, and texts
-that hold the string of a special token, go to the library whole. New pieces go to it many at a time, a special token between them. The cache
+that hold the string of a special token, as they are or in lower case, go to the library whole. New pieces go to it many at a time, a special token between them. The cache
 has two generations of at most `limit` pieces; when the younger is full, it becomes the older one.
 """
 
@@ -41,10 +41,13 @@ class Encoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """Pieces whose ids may be joined, the first one marked as a text's start; None if no cut is known to be safe."""
-        if not (_ASCII if text.isascii() else _PLAIN).fullmatch(text) or any(s in text for s in self.special):
+        if not (_ASCII if text.isascii() else _PLAIN).fullmatch(text):
+            return None
+        low = text if self.keeps_spaces else text.lower()
+        if any(s in text or s in low for s in self.special):
             return None
         if not self.keeps_spaces:
-            return text.lower().split()
+            return low.split()
         if text[:1].isspace() or text[-1:].isspace() or _WIDE.search(text):
             return None
         parts = text.split(" ")
@@ -79,8 +82,9 @@ class Encoder:
             joined = [self.mark.join(full[i : i + 64]) + self.mark for i in range(0, len(full), 64)]
             ids = np.concatenate([np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(joined, add_special_tokens=False)])
             cut = np.flatnonzero(ids == self.mark_id)
-            if len(cut) != len(part):
-                raise ValueError("a piece holds the special token")
+            if len(cut) != len(part):  # a piece reads as the special token: one by one then
+                self.young.update(zip(part, (x.tobytes() for x in self.whole(full)), strict=True))
+                continue
             blob, at = ids.tobytes(), 0
             for p, end in zip(part, (4 * cut).tolist(), strict=True):
                 self.young[p] = blob[at:end]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from censusflow.llm import brown, cnn, jaccard, jpeg, langid, latent, packing, store, substring, urls
+from censusflow.llm import brown, cnn, jaccard, jpeg, langid, latent, packing, store, substring, tokens, urls
 from censusflow.llm.common import components, held_out, new_path
 from censusflow.llm.queries import tokenizer
 
@@ -199,6 +199,23 @@ def test_store(spark, docs, none):
     assert store.joined_crc([(zlib.crc32(data[a:b]), b - a) for a, b in ((0, 7), (7, 7), (7, 2048), (2048, 3000))]) == zlib.crc32(data)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_give_the_ids_of_whole_texts(name):
+    """Random texts of Latin letters, signs, white space and special strings in all letter cases."""
+    from tokenizers import Tokenizer
+
+    library, mine = Tokenizer.from_file(tokenizer(name)), tokens.encoder(tokenizer(name))
+    special = [t.content for t in library.get_added_tokens_decoder().values()] + ["<|startoftext|>", "<|endoftext|>"]
+    parts = [*VOCABULARY[:40], *"!?.,'\"()-_/#<|>0123456789éÀß¼", "don't", "it'LL", " ", " ", " ", "  ", "\n", "\t", "<|", "|>", "日本"]
+    parts += [f(s) for s in special for f in (str, str.upper, str.title, str.swapcase)]
+    weight = np.array([8 if p in VOCABULARY or p == " " else 1 for p in parts], float)
+    texts = ["".join(RNG.choice(parts, int(RNG.integers(0, 60)), p=weight / weight.sum())) for _ in range(1500)]
+    texts += ["hello <|ENDOFTEXT|> there", "<|STARTOFTEXT|>", "x<|EndOfText|>y", "<|endoftext|", "|><|endoftext", " ".join(VOCABULARY * 40)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in mine.ids(texts)] == want
+    assert [x.tolist() for x in mine.ids(texts)] == want
+
+
 def test_packing(docs, none):
     got = packing.pack(docs, tokenizer("word_bpe_49k.json"), size=64).collect()
     want = Counter((i, len(x)) for i, x in ids_of("word_bpe_49k.json", 2))
