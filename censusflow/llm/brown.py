@@ -1,30 +1,34 @@
 """Class-based bigram scoring with Brown classes from exchange clustering.
 
-Counting: one scan counts all words of the training texts; the counts are a table, and only the `top` most frequent
-words (a fixed number) are sent to every task. Classes of the `own` most frequent words and the end of a text come from
-exchange clustering on a fixed-size matrix of neighbours, in which all other words stand by their last two bytes; that is
-only where the other words start. Then `rounds` rounds of exchange over all of these: the classes beside each word are
-counted by word, and each word goes to the class in which they are most likely, given the classes' own counts.
-
-Texts travel as packed blocks. The other words of each block go to the bucket of their word, where their exact training
-counts and classes are looked up, and come back to the block. So counts and classes of any number of words are exact and
-nothing that grows with the corpus is sent to every task.
-
-Scoring: P(text) = product of P(class | class before) * P(word | class), summed where the block's text is.
+1. One scan counts all words of the training texts. The `top` most frequent ones (a fixed number) are sent to every task.
+2. A second scan turns texts into blocks of numbers, kept in the shared folder: the place of a word among those sent, or
+   its place in the block's own list of other words. All later passes read numbers.
+3. Exchange clustering puts the `own` most frequent words in classes, one word at a time, on their bigram counts; all other
+   words stand as one class of their own meanwhile. Then `rounds` rounds of exchange over all words sent: the classes beside
+   each word are counted by word, and each word goes to the class in which they are most likely.
+4. All other words travel once to the bucket of their word, with the classes that stand beside them. There a word's training
+   count is summed and it goes to the class in which its neighbours are most likely. Both go back to the blocks that asked,
+   so counts and classes of any number of words are exact and nothing that grows with the corpus is sent to every task.
+5. Class bigrams are counted over all training texts, and P(text) = product of P(class | class before) * P(word | class).
+
+The classes beside a word outside those sent count only where the neighbour is one of them. A word that no training text
+has stands in the class that has most such words.
 
 Base: log10((c + 0.1) / (N + 0.1 (V + 1))) summed over tokens. Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; each
 text ends with one end token, which is counted like a word.
 
 Defined cases: null or empty text is the end token alone; without training texts all counts are 0; repeated rows count
-and score each; a null doc_id is in training.
+and score each; a null doc_id is in training; ties go to the word or class that comes first; columns beside doc_id, text
+and those that held_out reads are left out; a very long text is a block of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +38,19 @@ from pyspark.sql import functions as F
 
 from censusflow.llm.common import kept, partitions, pieces
 
-TOP, OWN, ENDINGS, CLASSES, SWEEPS, ROUNDS = 50_000, 1_000, 256, 32, 12, 2
+TOP, OWN, CLASSES, SWEEPS, ROUNDS = 50_000, 1_000, 64, 12, 2
+#: Bytes of text of a block, tokens per bucket of other words on average, words handled at once, parts of a summed table.
+TEXT, BUCKET, AT_ONCE, SLICES = 1 << 20, 4 << 20, 20_000, 64
 ADD = 0.1
 _END = b"\n"
+_NONE = 255  # class of a word without one
+_NULL = -(1 << 63)
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % ENDINGS
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names = [c.split() for c in schema.split(", ")]
+    return pa.record_batch([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(names)], names=[n for n, _ in names])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,68 +70,190 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-class Reader:
-    """Texts as top-word ids (-1: other) and units."""
-
-    def __init__(self, words: list[bytes], own: int):
-        self.id = {w: i for i, w in enumerate(words)}
-        self.unit = np.array([i if i < own else own + ending(w) for i, w in enumerate(words)], np.int64)
-        self.own = own
+_BLOCK = "block long, ids binary, held binary, sizes binary, tokens binary, words binary, cuts binary"
 
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """ids, units, text of each token, and the other words with their places."""
-        split = [t.lower().split() for t in texts]
-        words = [w for s in split for w in (*s, _END)]
-        get = self.id.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        units = self.unit[ids]
-        at = np.flatnonzero(ids < 0)
-        other = [words[i] for i in at.tolist()]
-        known: dict[bytes, int] = {}
-        units[at] = [known[x] if (x := w[-2:]) in known else known.setdefault(x, self.own + ending(w)) for w in other]
-        text = np.repeat(np.arange(len(texts)), [len(s) + 1 for s in split])
-        return ids, units, text, other, at
 
+def _blocks(sent, buckets: int):
+    """Texts as numbers. A token below 0 is -1 - its place in the block's other words, which come bucket by bucket."""
 
-def _pairs(model, units: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(*model.value)
-        sums = np.zeros(units * units, np.int64)
-        for _, texts in pieces(batches):
-            _, unit, _, _, _ = reader.read(texts)
-            sums += np.bincount(np.concatenate(([0], unit[:-1])) * units + unit, minlength=units * units)
-        parts = [p for p in enumerate(np.array_split(sums, 32)) if p[1].any()]
-        yield pa.record_batch([pa.array([i for i, _ in parts], pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], names=["slice", "sums"])
+        place = {w: i for i, w in enumerate(sent.value)}
+        block = TaskContext.get().partitionId() << 32
+        for batch, texts in pieces(batches, limit=TEXT):
+            split = [t.lower().split() for t in texts]
+            words = [w for t in split for w in (*t, _END)]
+            tokens = np.fromiter(map(place.get, words, repeat(-1)), np.int32, len(words))
+            at = np.flatnonzero(tokens < 0)
+            other = [words[i] for i in at.tolist()]
+            list_ = list(dict.fromkeys(other))
+            of = np.fromiter((zlib.crc32(w) % buckets for w in list_), np.int64, len(list_))
+            by = np.argsort(of, kind="stable")
+            list_ = [list_[i] for i in by.tolist()]
+            number = {w: -1 - i for i, w in enumerate(list_)}
+            tokens[at] = np.fromiter(map(number.__getitem__, other), np.int32, len(other))
+            used, first = np.unique(of[by], return_index=True)
+            ids = np.array([_NULL if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
+            held = np.array(batch.column("held_out").to_pylist(), np.uint8)
+            sizes = np.array([len(t) + 1 for t in split], np.int32)
+            yield _batch([(block, *(x.tobytes() for x in (ids, held, sizes, tokens)), b" ".join(list_), np.stack((used, first)).tobytes())], _BLOCK)
+            block += 1
 
     return work
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
+def _rows(batches: Iterator[pa.RecordBatch], columns: str) -> Iterator[list]:
+    """Rows with their binary columns as arrays."""
+    kinds = {"ids": np.int64, "held": np.uint8, "sizes": np.int32, "tokens": np.int32, "classes": np.uint8, "counts": np.int64}
+    names = columns.split()
     for batch in batches:
-        for s, x in zip(batch.column("slice").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-            x = np.frombuffer(x, np.int64)
-            sums[s] = sums[s] + x if s in sums else x
-    yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "sums"])
+        for row in zip(*(batch.column(n) for n in names), strict=True):
+            yield [np.frombuffer(x.as_py(), kinds[n]) if n in kinds else x.as_py() for n, x in zip(names, row, strict=True)]
+
+
+def _trained(held: np.ndarray, sizes: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Values of the tokens of training texts, in reading order. Each text ends with the end token, so texts may be joined."""
+    if not held.any():
+        return list(values)
+    keep = np.repeat(held == 0, sizes)
+    return [v[keep] for v in values]
+
+
+_SUM = "slice int, keys binary, sums binary"
+
+
+class Table:
+    """A table of counts of fixed size, summed over a task and sent on as the cells that aren't 0."""
+
+    def __init__(self, size: int):
+        self.size, self.sums, self.waiting = size, np.zeros(size, np.int64), []
+
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(keys)
+        if sum(map(len, self.waiting)) > 1 << 20:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.waiting:
+            self.sums += np.bincount(np.concatenate(self.waiting), minlength=self.size)
+            self.waiting = []
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        edges = np.linspace(0, self.size, SLICES + 1).astype(np.int64)
+        rows = []
+        for k in range(SLICES):
+            part = self.sums[edges[k] : edges[k + 1]]
+            at = np.flatnonzero(part)
+            if len(at):
+                rows.append((k, at.astype(np.int32).tobytes(), part[at].astype(np.int64).tobytes()))
+        yield _batch(rows, _SUM)
+
+
+def _add(size: int):
+    """Rows of a slice are neighbours; each slice's sums leave as one row."""
+    edges = np.linspace(0, size, SLICES + 1).astype(np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, None
+
+        def out():
+            at = np.flatnonzero(sums)
+            return _batch([(now, at.astype(np.int32).tobytes(), sums[at].tobytes())], _SUM)
+
+        for batch in batches:
+            for k, keys, more in zip(*(batch.column(c).to_pylist() for c in ("slice", "keys", "sums")), strict=True):
+                if k != now:
+                    if now is not None:
+                        yield out()
+                    now, sums = k, np.zeros(int(edges[k + 1] - edges[k]), np.int64)
+                sums[np.frombuffer(keys, np.int32)] += np.frombuffer(more, np.int64)
+        if now is not None:
+            yield out()
+
+    return work
+
+
+def summed(parts: DataFrame, work: Callable, size: int) -> np.ndarray:
+    """Sum of the tables of all tasks; its size doesn't depend on the rows."""
+    edges = np.linspace(0, size, SLICES + 1).astype(np.int64)
+    out = np.zeros(size, np.int64)
+    found = parts.mapInArrow(work, _SUM).repartition(min(SLICES, partitions(parts.sparkSession)), "slice").sortWithinPartitions("slice").mapInArrow(_add(size), _SUM)
+    for r in found.collect():
+        out[edges[r["slice"]] + np.frombuffer(r["keys"], np.int32)] = np.frombuffer(r["sums"], np.int64)
+    return out
+
+
+def _pairs(of: np.ndarray, units: int):
+    """Bigrams of units in training texts. of: unit of each word sent, that of all others last."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(units * units)
+        for held, sizes, tokens in _rows(batches, "held sizes tokens"):
+            (tokens,) = _trained(held, sizes, tokens)
+            if len(tokens):
+                unit = of[np.where(tokens < 0, len(of) - 1, tokens)].astype(np.int64)
+                table.add(np.roll(unit, 1) * units + unit)
+        yield from table.rows()
+
+    return work
+
+
+def _class_pairs(classes: int):
+    """Bigrams of classes in training texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(classes * classes)
+        for held, sizes, k in _rows(batches, "held sizes classes"):
+            (k,) = _trained(held, sizes, k)
+            if len(k):
+                k = k.astype(np.int64)
+                table.add(np.roll(k, 1) * classes + k)
+        yield from table.rows()
+
+    return work
+
+
+def _beside(of: np.ndarray, classes: int):
+    """Classes after (first) and before each word sent, in training texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, last = Table((len(of) - 1) * 2 * classes), len(of) - 1
+        for held, sizes, tokens in _rows(batches, "held sizes tokens"):
+            (tokens,) = _trained(held, sizes, tokens)
+            if not len(tokens):
+                continue
+            k = of[np.where(tokens < 0, last, tokens)].astype(np.int64)
+            sent, at = tokens >= 0, tokens.astype(np.int64) * 2 * classes
+            table.add((at + np.roll(k, -1))[sent])
+            table.add((at + classes + np.roll(k, 1))[sent])
+        yield from table.rows()
+
+    return work
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-12))
 
 
-def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
-    """Class of each unit: each unit in turn goes where the bigram likelihood of classes is highest, until none moves."""
+def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS, rest: bool = False) -> np.ndarray:
+    """Class of each unit: each unit in turn goes where the bigram likelihood of classes is highest, until none moves.
+
+    rest: the last unit stands for all other words; it keeps the last class, which no other unit enters.
+    """
     units = len(pairs)
     b = pairs.astype(np.float64)
     weight = b.sum(0) + b.sum(1)
     of = np.empty(units, np.int64)
-    of[np.argsort(-weight, kind="stable")] = np.arange(units) % classes
+    free = units - rest
+    order = np.argsort(-weight[:free], kind="stable")
+    of[order] = np.arange(free) % (classes - rest)
+    of[free:] = classes - 1
     member = np.eye(classes)[of]
     left, right = b @ member, b.T @ member  # unit to class after it, and before it
     n = member.T @ left
     for _ in range(sweeps):
         moved = 0
-        for u in np.argsort(-weight, kind="stable"):
+        for u in order:
             if not weight[u]:
                 continue
             a, self_ = of[u], b[u, u]
@@ -136,7 +268,7 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
             gain += _xlogx(d + to + fro + self_) - _xlogx(d + to) - _xlogx(d + fro) + _xlogx(d)
             rows, cols = n.sum(1), n.sum(0)
             gain -= _xlogx(rows + to.sum() + self_) - _xlogx(rows) + _xlogx(cols + fro.sum() + self_) - _xlogx(cols)
-            best = int(np.argmax(gain))
+            best = int(np.argmax(gain[: classes - rest]))
             if gain[best] <= gain[a] + 1e-9:
                 best = a
             n[best] += to
@@ -154,265 +286,221 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
     return of
 
 
+def likely(n: np.ndarray) -> np.ndarray:
+    """What each class beside a word (after it, then before it) says for each class of the word, given class bigram counts."""
+    n = n + 0.01
+    return np.concatenate((np.log(n / n.sum(1, keepdims=True)).T, np.log(n / n.sum(0))))
+
+
+def moved(beside: np.ndarray, had: np.ndarray, classes: int, own: int) -> np.ndarray:
+    """A round of exchange: best class of each word after the first `own`, given all words' classes before the round."""
+    n = np.zeros((classes, classes))
+    np.add.at(n, had, beside[:, :classes])
+    gain = beside @ likely(n)
+    best = gain.argmax(1)
+    rows = np.arange(len(had))
+    return np.where((rows >= own) & (gain[rows, best] > gain[rows, had] + 1e-9), best, had).astype(np.uint8)
+
+
 @dataclass
 class Model:
-    words: list  # the most frequent words, the end token first
-    own: int
+    of: np.ndarray  # class of each word sent
     counts: np.ndarray  # their training counts
     tokens: int  # N
     types: int  # V
-    start: np.ndarray  # class of each unit
-    of: np.ndarray  # class of each word of `words`
-    step: np.ndarray | None = None  # log10 P(class | class before)
-    mass: np.ndarray | None = None  # log10 of each class's denominator
+    step: np.ndarray  # log10 P(class | class before)
+    mass: np.ndarray  # log10 of each class's denominator
+    unseen: int  # class of words that no training text has
 
     def base(self, c):
         return np.log10((c + ADD) / (self.tokens + ADD * (self.types + 1)))
 
 
-_BLOCK = "kind string, bucket int, block long, ids binary, held binary, words binary, classes binary, counts binary"
+_ASK = "bucket int, block long, first int, words binary, counts binary, beside binary, lengths binary"
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    names = [c.split() for c in schema.split(", ")]
-    return pa.record_batch([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(names)], names=[n for n, _ in names])
-
-
-def _by_bucket(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-    by = np.argsort(of, kind="stable")
-    cut = np.searchsorted(of[by], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cut)).tolist():
-        yield b, by[cut[b] : cut[b + 1]]
-
-
-def _blocks(sent, buckets: int):
-    """Texts as blocks, and for each block the words it asks for."""
+def _ask(of: np.ndarray, classes: int):
+    """A block's other words by bucket: training counts and the classes beside them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(sent.value[0])
-        block = TaskContext.get().partitionId() << 32
-        for batch, texts in pieces(batches):
-            split = [t.lower().split() for t in texts]
-            held = np.array(batch.column("held_out").to_pylist(), np.uint8)
-            ids = np.array([-(1 << 63) if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
-            rows: list[tuple] = [("text", None, block, ids.tobytes(), held.tobytes(), b"\n".join(b" ".join(t) for t in split), None, None)]
-            ask = list({w for t in split for w in t} - known)
-            rows += [("ask", b, block, None, None, b" ".join([ask[i] for i in at.tolist()]), None, None) for b, at in _by_bucket(ask, buckets)]
-            yield _batch(rows, _BLOCK)
-            block += 1
+        for block, held, sizes, tokens, words, cuts in _rows(batches, "block held sizes tokens words cuts"):
+            if not words:
+                continue
+            words = words.split(b" ")
+            (tokens,) = _trained(held, sizes, tokens)
+            k = of[np.where(tokens < 0, len(of) - 1, tokens)].astype(np.int64)
+            at = np.flatnonzero(tokens < 0)
+            mine = -1 - tokens[at].astype(np.int64)
+            counts = np.bincount(mine, minlength=len(words))
+            code = np.concatenate((np.roll(k, -1)[at], np.roll(k, 1)[at] + classes))
+            mine = np.concatenate((mine, mine))
+            known = (code < 2 * classes)
+            mine, code = mine[known], code[known]
+            code = code[np.argsort(mine, kind="stable")].astype(np.uint8)
+            lengths = np.bincount(mine, minlength=len(words))
+            start = np.concatenate(([0], np.cumsum(lengths)))
+            used, first = np.frombuffer(cuts, np.int64).reshape(2, -1)
+            ends = np.append(first[1:], len(words))
+            yield _batch(
+                [
+                    (b, block, i, b" ".join(words[i:j]), counts[i:j].astype(np.int32).tobytes(), code[start[i] : start[j]].tobytes(), lengths[i:j].astype(np.int32).tobytes())
+                    for b, i, j in zip(used.tolist(), first.tolist(), ends.tolist(), strict=True)
+                ],
+                _ASK,
+            )
 
     return work
 
 
-def _have(sent, buckets: int):
-    """Counted words that aren't sent, with classes, by bucket."""
+_ANSWER = "block long, first int, classes binary, counts binary"
+
+
+def _answer(says: np.ndarray, classes: int):
+    """Each word's class and count over all blocks, for the blocks that asked; and classes' counts and types (block null)."""
+
+    def bucket(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        number: dict[bytes, int] = {}
+        place = []
+        for _, _, words, *_ in rows:
+            split = words.split(b" ")
+            place.append(np.fromiter((number.setdefault(w, len(number)) for w in split), np.int64, len(split)))
+        size = len(number)
+        every = np.concatenate(place)
+        counts = np.bincount(every, np.concatenate([np.frombuffer(r[3], np.int32) for r in rows]), size).astype(np.int64)
+        code = np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows])
+        word = np.repeat(every, np.concatenate([np.frombuffer(r[5], np.int32) for r in rows]))
+        by = np.argsort(word, kind="stable")
+        code, word = code[by], word[by]
+        best = np.empty(size, np.uint8)
+        for lo in range(0, size, AT_ONCE):
+            hi = min(size, lo + AT_ONCE)
+            i, j = np.searchsorted(word, (lo, hi))
+            table = np.bincount((word[i:j] - lo) * 2 * classes + code[i:j], minlength=(hi - lo) * 2 * classes)
+            best[lo:hi] = (table.reshape(-1, 2 * classes).astype(np.float32) @ says).argmax(1)
+        best[counts == 0] = _NONE
+        seen = counts > 0
+        sums = np.stack((np.bincount(best[seen], counts[seen], classes), np.bincount(best[seen], minlength=classes))).astype(np.int64)
+        yield _batch([(None, None, None, sums.tobytes())], _ANSWER)
+        for lo in range(0, len(rows), 512):
+            yield _batch([(r[0], r[1], best[p].tobytes(), counts[p].tobytes()) for r, p in zip(rows[lo : lo + 512], place[lo : lo + 512], strict=True)], _ANSWER)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(sent.value.words)
+        now, rows = None, []
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            keep = [i for i, w in enumerate(words) if w not in known]
-            words = [words[i] for i in keep]
-            c, cls = (batch.column(n).to_numpy()[keep] for n in ("c", "class"))
-            rows = [("a", b, None, None, None, b" ".join([words[i] for i in at.tolist()]), cls[at].astype(np.uint8).tobytes(), c[at].astype(np.int64).tobytes()) for b, at in _by_bucket(words, buckets)]
-            yield _batch(rows, _BLOCK)
+            for b, *row in zip(*(batch.column(c.split()[0]).to_pylist() for c in _ASK.split(", ")), strict=True):
+                if b != now and rows:
+                    yield from bucket(rows)
+                    rows = []
+                now = b
+                rows.append(row)
+        if rows:
+            yield from bucket(rows)
 
     return work
 
 
-def _answer(sent):
-    """Classes and counts of the words that blocks ask for; a bucket's counted words come first."""
+_CLASSED = "ids binary, held binary, sizes binary, classes binary, counts binary"
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, now, have = sent.value, None, {}
-        for batch in batches:
-            rows = []
-            for kind, b, block, words, cls, c in zip(*(batch.column(n).to_pylist() for n in ("kind", "bucket", "block", "words", "classes", "counts")), strict=True):
-                if b != now:
-                    now, have = b, {}
-                split = words.split(b" ")
-                if kind == "a":
-                    have.update(zip(split, zip(cls, np.frombuffer(c, np.int64).tolist(), strict=True), strict=True))
-                    continue
-                found = [have[w] if w in have else (m.start[m.own + ending(w)], 0) for w in split]
-                rows.append(("answer", b, block, None, None, words, bytes([int(x) for x, _ in found]), np.array([x for _, x in found], np.int64).tobytes()))
-            yield _batch(rows, _BLOCK)
 
-    return work
+def _classed(sent):
+    """Class and count of each token, of a block and the answers to it, which follow it."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, have = sent.value
+        block, text, cls, counts = None, None, [], []
 
-def _each(sent, then):
-    """For each block: ids, held, its words, their texts, classes and counts."""
-
-    def close(m: Model, place: dict, text: tuple, answers: list):
-        names, cls, c = {}, [m.of], [m.counts]
-        for words, k, n in answers:
-            for w in words.split(b" "):
-                names[w] = len(m.words) + len(names)
-            cls.append(np.frombuffer(k, np.uint8))
-            c.append(np.frombuffer(n, np.int64))
-        cls, c = np.concatenate(cls), np.concatenate(c)
-        ids, held, texts = text
-        split = [t.split() for t in texts.split(b"\n")]
-        words = [w for t in split for w in (*t, _END)]
-        at = np.fromiter((place[w] if w in place else names[w] for w in words), np.int64, len(words))
-        of = np.repeat(np.arange(len(split)), [len(t) + 1 for t in split])
-        return np.frombuffer(ids, np.int64), np.frombuffer(held, np.uint8), [*m.words, *names], at, of, cls, c
+        def out():
+            ids, held, sizes, tokens = text
+            at = np.frombuffer(tokens, np.int32)
+            k, c = np.concatenate([of, *cls]), np.concatenate([have, *counts])
+            at = np.where(at < 0, len(of) - 1 - at, at)  # the block's words come after those sent
+            return _batch([(ids, held, sizes, k[at].tobytes(), c[at].tobytes())], _CLASSED)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, now, text, answers = sent.value, None, None, []
-        place = {w: i for i, w in enumerate(m.words)}
         for batch in batches:
-            for kind, block, ids, held, *rest in zip(*(batch.column(n).to_pylist() for n in ("kind", "block", "ids", "held", "words", "classes", "counts")), strict=True):
-                if block != now and text is not None:
-                    yield from then(m, *close(m, place, text, answers))
-                    text, answers = None, []
-                now = block
-                if kind == "text":
-                    text = (ids, held, rest[0])
+            names = ("block", "ids", "held", "sizes", "tokens", "classes", "counts")
+            for b, ids, held, sizes, tokens, k, c in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if b != block:
+                    if text is not None:
+                        yield out()
+                    block, text, cls, counts = b, None, [], []
+                if ids is not None:
+                    text = (ids, held, sizes, tokens)
                 else:
-                    answers.append(rest)
+                    cls.append(np.frombuffer(k, np.uint8))
+                    counts.append(np.frombuffer(c, np.int64))
         if text is not None:
-            yield from then(m, *close(m, place, text, answers))
+            yield out()
 
     return work
 
 
-_BESIDE = "word binary, beside binary"
-
-
-def _beside(classes: int, by_word: bool = True):
-    def then(m: Model, ids, held, names, at, of, cls, c) -> Iterator[pa.RecordBatch]:
-        """Classes after and before each word in training texts, packed as (code, times); those of all words under null."""
-        train = held[of] == 0
-        at, k = at[train], cls[at[train]].astype(np.int64)
-        if not len(at):
-            return
-        before = np.concatenate(([int(m.of[0])], k[:-1]))  # a text begins after the end of another one
-        after = np.append(k[1:], int(m.of[0]))
-        pairs = np.bincount(before * classes + k, minlength=classes * classes)
-        if not by_word:
-            yield _batch([(None, pairs.astype(np.int64).tobytes())], _BESIDE)
-            return
-        key, times = np.unique(np.concatenate((at * 2 * classes + after, at * 2 * classes + classes + before)), return_counts=True)
-        word = key // (2 * classes)
-        mine = word >= m.own
-        word, key, times = word[mine], key[mine], times[mine]
-        packed = np.stack((key % (2 * classes), times), 1).astype(np.uint32)
-        first = np.flatnonzero(np.concatenate(([True], np.diff(word) != 0))) if len(word) else np.zeros(0, np.int64)
-        ends = np.append(first[1:], len(word))
-        rows = [(None, pairs.astype(np.int64).tobytes())] + [(names[w], packed[i:j].tobytes()) for w, i, j in zip(word[first].tolist(), first.tolist(), ends.tolist(), strict=True)]
-        yield _batch(rows, _BESIDE)
-
-    return then
-
-
-def likely(n: np.ndarray) -> np.ndarray:
-    """What each class beside a word (after it, then before it) says for each class of the word, given class bigram counts."""
-    n = n + 0.01
-    return np.concatenate((np.log(n / n.sum(1, keepdims=True)).T, np.log(n / n.sum(0))))
+_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def _move(says: np.ndarray):
+def _score(sent):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best = []
-            for parts, had in zip(batch.column("beside").to_pylist(), batch.column("class").to_pylist(), strict=True):
-                x = np.frombuffer(b"".join(parts or ()), np.uint32).reshape(-1, 2)
-                gain = x[:, 1] @ says[x[:, 0]] if len(x) else np.zeros(says.shape[1])
-                new = int(gain.argmax())
-                best.append(new if gain[new] > gain[had] + 1e-9 else had)
-            yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(best, pa.int32())], names=["word", "c", "class"])
-
-    return work
-
-
-def train(docs: DataFrame, top: int, own: int, classes: int) -> tuple[Model, DataFrame]:
-    """The model with the classes to start from, and the table of all words, counts and classes. docs: training texts only."""
-    spark = docs.sparkSession
-    texts = docs.select("text")
-    counts = kept(texts.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    best = counts.where(F.col("word") != F.lit(_END)).orderBy(F.desc("c"), "word").limit(top - 1).collect()
-    ends = counts.where(F.col("word") == F.lit(_END)).collect()
-    words = [_END, *(bytes(r["word"]) for r in best)]
-    have = np.array([ends[0]["c"] if ends else 0, *(r["c"] for r in best)], np.int64)
-    own = min(own, len(words))
-    units = own + ENDINGS
-    sent = spark.sparkContext.broadcast((words, own))
-    slices = texts.mapInArrow(_pairs(sent, units), "slice int, sums binary").repartition(32, "slice").mapInArrow(_add, "slice int, sums binary").collect()
-    parts = np.array_split(np.zeros(units * units, np.int64), 32)
-    for r in slices:
-        parts[r["slice"]] = parts[r["slice"]] + np.frombuffer(r["sums"], np.int64)
-    start = exchange(np.concatenate(parts).reshape(units, units), classes)
-    model = Model(words, own, have, total["n"], total["v"], start, start[Reader(words, own).unit].astype(np.uint8))
-    sent = spark.sparkContext.broadcast(model)
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        place = {w: i for i, w in enumerate(m.words)}
-        for batch in batches:
-            cls = [int(m.of[place[w]] if w in place else m.start[m.own + ending(w)]) for w in batch.column("word").to_pylist()]
-            yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(cls, pa.int32())], names=["word", "c", "class"])
-
-    return model, kept(counts.mapInArrow(begin, _TABLE), "classes")
-
+        for ids, held, sizes, k, c in _rows(batches, "ids held sizes classes counts"):
+            k = np.where(k == _NONE, m.unseen, k)
+            size = len(ids)
+            of = np.repeat(np.arange(size), sizes)
+            before = np.roll(k, 1)  # the end token of the text before
+            terms = np.bincount(of, m.step[before, k] + np.log10(c + ADD) - m.mass[k], size)
+            cols = [
+                pa.array(ids, mask=ids == _NULL),
+                pa.array(held.astype(bool)),
+                pa.array(sizes.astype(np.int64)),
+                pa.array(np.bincount(of, c > 0, size).astype(np.int64)),
+                pa.array(np.full(size, m.tokens, np.int64)),
+                pa.array(np.bincount(of, m.base(c), size)),
+                pa.array(terms),
+                pa.array(10 ** np.minimum(300, -terms / sizes)),
+            ]
+            yield pa.record_batch(cols, names=[x.split()[0] for x in _OUT.split(", ")])
 
-_TABLE = "word binary, c long, class int"
-_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-
-
-def _score(m: Model, ids, held, names, at, of, cls, c) -> Iterator[pa.RecordBatch]:
-    k, n, size = cls[at], c[at], len(ids)
-    before = np.concatenate(([m.of[0]], k[:-1]))
-    tokens = np.bincount(of, minlength=size)
-    terms = np.bincount(of, m.step[before, k] + np.log10(n + ADD) - m.mass[k], size)
-    cols = [
-        pa.array(ids, mask=ids == -(1 << 63)),
-        pa.array(held.astype(bool)),
-        pa.array(tokens),
-        pa.array(np.bincount(of, n > 0, size).astype(np.int64)),
-        pa.array(np.full(size, m.tokens, np.int64)),
-        pa.array(np.bincount(of, m.base(n), size)),
-        pa.array(terms),
-        pa.array(10 ** np.minimum(300, -terms / tokens)),
-    ]
-    yield pa.record_batch(cols, names=[x.split()[0] for x in _OUT.split(", ")])
+    return work
 
 
 def score(docs: DataFrame, held_out: Column, top: int = TOP, own: int = OWN, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """Score all texts with a model of those where held_out is false."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    model, table = train(rows.where("not held_out"), top, own, classes)
-    buckets = partitions(spark)
-    blocks = kept(rows.mapInArrow(_blocks(spark.sparkContext.broadcast((model.words,)), buckets), _BLOCK), "blocks")
-    place = {w: i for i, w in enumerate(model.words)}
-
-    def every(table: DataFrame, then, schema: str) -> DataFrame:
-        sent = spark.sparkContext.broadcast(model)
-        asked = blocks.where("kind = 'ask'").unionByName(table.mapInArrow(_have(sent, buckets), _BLOCK))
-        answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer(sent), _BLOCK)
-        both = blocks.where("kind = 'text'").unionByName(answers)
-        return both.repartition(buckets, "block").sortWithinPartitions("block").mapInArrow(_each(sent, then), schema)
-
-    def pairs(beside: DataFrame) -> np.ndarray:
-        found = beside.where("word is null").select(F.col("beside").alias("sums"), F.lit(0).alias("slice"))
-        return sum((np.frombuffer(r["sums"], np.int64) for r in found.mapInArrow(_add, "slice int, sums binary").collect() if r["sums"]), np.zeros(classes * classes)).reshape(classes, classes)
+    found = kept(rows.where("not held_out").select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    total = found.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    best = found.where(F.col("word") != F.lit(_END)).orderBy(F.desc("c"), "word").limit(top - 1).collect()
+    ends = found.where(F.col("word") == F.lit(_END)).collect()
+    words = [_END, *(bytes(r["word"]) for r in best)]
+    counts = np.array([ends[0]["c"] if ends else 0, *(r["c"] for r in best)], np.int64)
+    parts = partitions(spark)
+    buckets = max(parts, total["n"] // BUCKET + 1)
+    blocks = kept(rows.mapInArrow(_blocks(spark.sparkContext.broadcast(words), buckets), _BLOCK), "blocks")
 
+    own = min(own, len(words))
+    start = exchange(summed(blocks, _pairs(np.minimum(np.arange(len(words) + 1), own), own + 1), (own + 1) ** 2).reshape(own + 1, own + 1), classes, rest=True)
+    of = start[np.minimum(np.arange(len(words)), own)].astype(np.uint8)
     for _ in range(rounds):
-        beside = kept(every(table, _beside(classes), _BESIDE), "beside")
-        lists = beside.where("word is not null").groupBy("word").agg(F.collect_list("beside").alias("beside"))
-        table = kept(table.join(lists, "word", "left").select("word", "c", "class", "beside").mapInArrow(_move(likely(pairs(beside))), _TABLE), "classes")
-        for r in table.join(F.broadcast(spark.createDataFrame([(w,) for w in model.words], "word binary")), "word").collect():
-            model.of[place[bytes(r["word"])]] = r["class"]
-    n = pairs(every(table, _beside(classes, by_word=False), _BESIDE))
+        every = np.append(of, np.uint8(classes - 1))
+        beside = summed(blocks, _beside(every, classes), len(words) * 2 * classes).reshape(-1, 2 * classes)
+        of = moved(beside, of, classes, own)
+
+    # class bigrams among the words sent place the others
+    n = summed(blocks, _pairs(np.append(of, np.uint8(classes)), classes + 1), (classes + 1) ** 2).reshape(classes + 1, classes + 1)[:classes, :classes]
+    asked = blocks.mapInArrow(_ask(np.append(of, np.uint8(_NONE)), classes), _ASK)
+    answers = kept(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(likely(n).astype(np.float32), classes), _ANSWER), "answers")
+    sums = np.stack((np.bincount(of, counts, classes), np.bincount(of[counts > 0], minlength=classes)))
+    others = np.zeros((2, classes), np.int64)
+    for r in answers.where("block is null").select("counts").toLocalIterator():  # one row per bucket
+        others += np.frombuffer(r["counts"], np.int64).reshape(2, classes)
+    unseen = int(others[1].argmax())
+    sums = sums + others
+    null = F.lit(None).cast("binary")
+    texts = blocks.select("block", F.lit(-1).alias("first"), "ids", "held", "sizes", "tokens", null.alias("classes"), null.alias("counts"))
+    told = answers.where("block is not null").select("block", "first", *[null.alias(c) for c in ("ids", "held", "sizes", "tokens")], "classes", "counts")
+    both = texts.unionByName(told).repartition(parts, "block").sortWithinPartitions("block", "first")
+    classed = kept(both.mapInArrow(_classed(spark.sparkContext.broadcast((of, counts))), _CLASSED), "classed")
+
+    n = summed(classed, _class_pairs(classes), classes * classes).reshape(classes, classes)
     prior = (n.sum(0) + 1) / (n.sum() + classes)
-    model.step = np.log10((n + prior) / (n.sum(1, keepdims=True) + 1))
-    sums = np.zeros((2, classes))
-    for r in table.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        sums[:, r["class"]] = r["c"], r["v"]
-    model.mass = np.log10(sums[0] + ADD * (sums[1] + 1))
-    return every(table, _score, _OUT)
+    step = np.log10((n + prior) / (n.sum(1, keepdims=True) + 1))
+    mass = np.log10(sums[0] + ADD * (sums[1] + 1))
+    return classed.mapInArrow(_score(spark.sparkContext.broadcast(Model(of, counts, total["n"], total["v"], step, mass, unseen))), _OUT)

@@ -270,6 +270,36 @@ def test_brown(docs, none):
     assert all(r.score < 0 for r in got) and brown.score(none, held_out(10, 0)).count() == 0
 
 
+def test_brown_score_by_the_formula(spark):
+    """Scores from the classes that exchange gives, by plain sums over texts; all words are sent, none stays behind."""
+    rows = [(i, prose(int(RNG.integers(0, 30)))) for i in range(60)] + [(100, "unknown words " + prose(5)), (None, prose(9)), (7, None)]
+    train, classes = [split(t) + [b"\n"] for i, t in rows if i != 100], 5
+    c = Counter(w for t in train for w in t)
+    order = [b"\n", *sorted(set(c) - {b"\n"}, key=lambda w: (-c[w], w))]
+    place = {w: i for i, w in enumerate(order)}
+    pairs = np.zeros((len(order) + 1,) * 2, np.int64)
+    for t in train:
+        for a, b in zip([b"\n", *t], t):
+            pairs[place[a], place[b]] += 1
+    of = brown.exchange(pairs, classes, rest=True)
+    member = np.eye(classes, dtype=np.int64)[of]
+    n = member.T @ pairs @ member
+    prior = (n.sum(0) + 1) / (n.sum() + classes)
+    mass = [sum(c[w] for w in order if of[place[w]] == k) + 0.1 * (sum(of[place[w]] == k for w in order) + 1) for k in range(classes)]
+
+    def plain(text):
+        k, total = of[0], 0.0
+        for w in [x.lower() for x in split(text)] + [b"\n"]:
+            j = of[place[w]] if w in place else 0
+            total += math.log10((n[k, j] + prior[j]) / (n[k].sum() + 1)) + math.log10((c[w] + 0.1) / mass[j])
+            k = j
+        return round(total, 6)
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = brown.score(frame, F.coalesce(F.col("doc_id") == 100, F.lit(False)), own=10_000, classes=classes).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted((str(i), plain(t)) for i, t in rows)
+
+
 def test_exchange_never_loses_likelihood():
     pairs = RNG.integers(0, 9, (30, 30))
 
