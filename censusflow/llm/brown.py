@@ -3,16 +3,17 @@
 1. One scan counts all words of the training texts. The `top` most frequent ones (a fixed number) are sent to every task.
 2. A second scan turns texts into blocks of numbers, kept in the shared folder: the place of a word among those sent, or
    its place in the block's own list of other words. All later passes read numbers.
-3. Exchange clustering puts the `own` most frequent words in classes, one word at a time, on their bigram counts; all other
-   words stand as one class of their own meanwhile. Then `rounds` rounds of exchange over all words sent: the classes beside
-   each word are counted by word, and each word goes to the class in which they are most likely.
+3. Exchange clustering puts the `own` most frequent words in classes, one word at a time, on their bigram counts. All other
+   words take part as ENDINGS units, by a hash of their last two bytes; that is only where they start. Then `rounds` rounds
+   of exchange over the other words sent: the classes beside each word are counted by word, and all of these words go at
+   once to the class in which their neighbours are most likely.
 4. All other words travel once to the bucket of their word, with the classes that stand beside them. There a word's training
    count is summed and it goes to the class in which its neighbours are most likely. Both go back to the blocks that asked,
    so counts and classes of any number of words are exact and nothing that grows with the corpus is sent to every task.
 5. Class bigrams are counted over all training texts, and P(text) = product of P(class | class before) * P(word | class).
 
-The classes beside a word outside those sent count only where the neighbour is one of them. A word that no training text
-has stands in the class that has most such words.
+Beside a word, neighbours outside those sent count with the class in which they start, and a word that no training text
+has stays in that class.
 
 Base: log10((c + 0.1) / (N + 0.1 (V + 1))) summed over tokens. Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; each
 text ends with one end token, which is counted like a word.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from censusflow.llm.common import kept, partitions, pieces
 
-TOP, OWN, CLASSES, SWEEPS, ROUNDS = 50_000, 1_000, 64, 12, 2
+TOP, OWN, ENDINGS, CLASSES, SWEEPS, ROUNDS = 50_000, 1_000, 256, 64, 12, 3
 #: Bytes of text of a block, tokens per bucket of other words on average, words handled at once, parts of a summed table.
 TEXT, BUCKET, AT_ONCE, SLICES = 1 << 20, 4 << 20, 20_000, 64
 ADD = 0.1
@@ -47,6 +48,10 @@ _NONE = 255  # class of a word without one
 _NULL = -(1 << 63)
 
 
+def ending(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % ENDINGS
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     names = [c.split() for c in schema.split(", ")]
@@ -70,7 +75,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-_BLOCK = "block long, ids binary, held binary, sizes binary, tokens binary, words binary, cuts binary"
+_BLOCK = "block long, ids binary, held binary, sizes binary, tokens binary, words binary, ends binary, cuts binary"
 
 
 def _blocks(sent, buckets: int):
@@ -91,11 +96,12 @@ def _blocks(sent, buckets: int):
             list_ = [list_[i] for i in by.tolist()]
             number = {w: -1 - i for i, w in enumerate(list_)}
             tokens[at] = np.fromiter(map(number.__getitem__, other), np.int32, len(other))
+            ends = np.fromiter((ending(w) for w in list_), np.uint8, len(list_))
             used, first = np.unique(of[by], return_index=True)
             ids = np.array([_NULL if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
             held = np.array(batch.column("held_out").to_pylist(), np.uint8)
             sizes = np.array([len(t) + 1 for t in split], np.int32)
-            yield _batch([(block, *(x.tobytes() for x in (ids, held, sizes, tokens)), b" ".join(list_), np.stack((used, first)).tobytes())], _BLOCK)
+            yield _batch([(block, *(x.tobytes() for x in (ids, held, sizes, tokens)), b" ".join(list_), ends.tobytes(), np.stack((used, first)).tobytes())], _BLOCK)
             block += 1
 
     return work
@@ -103,7 +109,7 @@ def _blocks(sent, buckets: int):
 
 def _rows(batches: Iterator[pa.RecordBatch], columns: str) -> Iterator[list]:
     """Rows with their binary columns as arrays."""
-    kinds = {"ids": np.int64, "held": np.uint8, "sizes": np.int32, "tokens": np.int32, "classes": np.uint8, "counts": np.int64}
+    kinds = {"ids": np.int64, "held": np.uint8, "sizes": np.int32, "tokens": np.int32, "ends": np.uint8, "classes": np.uint8, "counts": np.int64}
     names = columns.split()
     for batch in batches:
         for row in zip(*(batch.column(n) for n in names), strict=True):
@@ -118,6 +124,14 @@ def _trained(held: np.ndarray, sizes: np.ndarray, *values: np.ndarray) -> list[n
     return [v[keep] for v in values]
 
 
+def _places(tokens: np.ndarray, ends: np.ndarray, sent: int) -> np.ndarray:
+    """Places of tokens among the words sent, and after them the units of other words."""
+    out = tokens.astype(np.int64)
+    at = np.flatnonzero(tokens < 0)
+    out[at] = sent + ends[-1 - tokens[at]].astype(np.int64)
+    return out
+
+
 _SUM = "slice int, keys binary, sums binary"
 
 
@@ -184,14 +198,14 @@ def summed(parts: DataFrame, work: Callable, size: int) -> np.ndarray:
 
 
 def _pairs(of: np.ndarray, units: int):
-    """Bigrams of units in training texts. of: unit of each word sent, that of all others last."""
+    """Bigrams of units in training texts. of: unit of each place."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(units * units)
-        for held, sizes, tokens in _rows(batches, "held sizes tokens"):
+        for held, sizes, tokens, ends in _rows(batches, "held sizes tokens ends"):
             (tokens,) = _trained(held, sizes, tokens)
             if len(tokens):
-                unit = of[np.where(tokens < 0, len(of) - 1, tokens)].astype(np.int64)
+                unit = of[_places(tokens, ends, len(of) - ENDINGS)].astype(np.int64)
                 table.add(np.roll(unit, 1) * units + unit)
         yield from table.rows()
 
@@ -214,18 +228,18 @@ def _class_pairs(classes: int):
 
 
 def _beside(of: np.ndarray, classes: int):
-    """Classes after (first) and before each word sent, in training texts."""
+    """Classes after (first) and before each place, in training texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, last = Table((len(of) - 1) * 2 * classes), len(of) - 1
-        for held, sizes, tokens in _rows(batches, "held sizes tokens"):
+        table = Table(len(of) * 2 * classes)
+        for held, sizes, tokens, ends in _rows(batches, "held sizes tokens ends"):
             (tokens,) = _trained(held, sizes, tokens)
             if not len(tokens):
                 continue
-            k = of[np.where(tokens < 0, last, tokens)].astype(np.int64)
-            sent, at = tokens >= 0, tokens.astype(np.int64) * 2 * classes
-            table.add((at + np.roll(k, -1))[sent])
-            table.add((at + classes + np.roll(k, 1))[sent])
+            at = _places(tokens, ends, len(of) - ENDINGS)
+            k = of[at].astype(np.int64)
+            table.add(at * 2 * classes + np.roll(k, -1))
+            table.add(at * 2 * classes + classes + np.roll(k, 1))
         yield from table.rows()
 
     return work
@@ -235,19 +249,14 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-12))
 
 
-def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS, rest: bool = False) -> np.ndarray:
-    """Class of each unit: each unit in turn goes where the bigram likelihood of classes is highest, until none moves.
-
-    rest: the last unit stands for all other words; it keeps the last class, which no other unit enters.
-    """
+def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
+    """Class of each unit: each unit in turn goes where the bigram likelihood of classes is highest, until none moves."""
     units = len(pairs)
     b = pairs.astype(np.float64)
     weight = b.sum(0) + b.sum(1)
     of = np.empty(units, np.int64)
-    free = units - rest
-    order = np.argsort(-weight[:free], kind="stable")
-    of[order] = np.arange(free) % (classes - rest)
-    of[free:] = classes - 1
+    order = np.argsort(-weight, kind="stable")
+    of[order] = np.arange(units) % classes
     member = np.eye(classes)[of]
     left, right = b @ member, b.T @ member  # unit to class after it, and before it
     n = member.T @ left
@@ -268,7 +277,7 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS, rest: bool =
             gain += _xlogx(d + to + fro + self_) - _xlogx(d + to) - _xlogx(d + fro) + _xlogx(d)
             rows, cols = n.sum(1), n.sum(0)
             gain -= _xlogx(rows + to.sum() + self_) - _xlogx(rows) + _xlogx(cols + fro.sum() + self_) - _xlogx(cols)
-            best = int(np.argmax(gain[: classes - rest]))
+            best = int(np.argmax(gain))
             if gain[best] <= gain[a] + 1e-9:
                 best = a
             n[best] += to
@@ -293,24 +302,21 @@ def likely(n: np.ndarray) -> np.ndarray:
 
 
 def moved(beside: np.ndarray, had: np.ndarray, classes: int, own: int) -> np.ndarray:
-    """A round of exchange: best class of each word after the first `own`, given all words' classes before the round."""
+    """A round of exchange: best class of each word sent after the first `own`, given all places' classes before the round."""
     n = np.zeros((classes, classes))
     np.add.at(n, had, beside[:, :classes])
     gain = beside @ likely(n)
     best = gain.argmax(1)
     rows = np.arange(len(had))
-    return np.where((rows >= own) & (gain[rows, best] > gain[rows, had] + 1e-9), best, had).astype(np.uint8)
+    return np.where((rows >= own) & (rows < len(had) - ENDINGS) & (gain[rows, best] > gain[rows, had] + 1e-9), best, had).astype(np.uint8)
 
 
 @dataclass
 class Model:
-    of: np.ndarray  # class of each word sent
-    counts: np.ndarray  # their training counts
     tokens: int  # N
     types: int  # V
     step: np.ndarray  # log10 P(class | class before)
     mass: np.ndarray  # log10 of each class's denominator
-    unseen: int  # class of words that no training text has
 
     def base(self, c):
         return np.log10((c + ADD) / (self.tokens + ADD * (self.types + 1)))
@@ -323,28 +329,26 @@ def _ask(of: np.ndarray, classes: int):
     """A block's other words by bucket: training counts and the classes beside them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, held, sizes, tokens, words, cuts in _rows(batches, "block held sizes tokens words cuts"):
+        for block, held, sizes, tokens, words, ends, cuts in _rows(batches, "block held sizes tokens words ends cuts"):
             if not words:
                 continue
             words = words.split(b" ")
             (tokens,) = _trained(held, sizes, tokens)
-            k = of[np.where(tokens < 0, len(of) - 1, tokens)].astype(np.int64)
+            k = of[_places(tokens, ends, len(of) - ENDINGS)].astype(np.int64)
             at = np.flatnonzero(tokens < 0)
             mine = -1 - tokens[at].astype(np.int64)
             counts = np.bincount(mine, minlength=len(words))
             code = np.concatenate((np.roll(k, -1)[at], np.roll(k, 1)[at] + classes))
             mine = np.concatenate((mine, mine))
-            known = (code < 2 * classes)
-            mine, code = mine[known], code[known]
             code = code[np.argsort(mine, kind="stable")].astype(np.uint8)
             lengths = np.bincount(mine, minlength=len(words))
             start = np.concatenate(([0], np.cumsum(lengths)))
             used, first = np.frombuffer(cuts, np.int64).reshape(2, -1)
-            ends = np.append(first[1:], len(words))
+            stops = np.append(first[1:], len(words))
             yield _batch(
                 [
                     (b, block, i, b" ".join(words[i:j]), counts[i:j].astype(np.int32).tobytes(), code[start[i] : start[j]].tobytes(), lengths[i:j].astype(np.int32).tobytes())
-                    for b, i, j in zip(used.tolist(), first.tolist(), ends.tolist(), strict=True)
+                    for b, i, j in zip(used.tolist(), first.tolist(), stops.tolist(), strict=True)
                 ],
                 _ASK,
             )
@@ -406,25 +410,28 @@ def _classed(sent):
     """Class and count of each token, of a block and the answers to it, which follow it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, have = sent.value
+        of, have = sent.value  # classes of all places, counts of the words sent
         block, text, cls, counts = None, None, [], []
 
         def out():
-            ids, held, sizes, tokens = text
+            ids, held, sizes, tokens, ends = text
             at = np.frombuffer(tokens, np.int32)
-            k, c = np.concatenate([of, *cls]), np.concatenate([have, *counts])
-            at = np.where(at < 0, len(of) - 1 - at, at)  # the block's words come after those sent
+            at = np.where(at < 0, len(have) - 1 - at, at)  # the block's words come after those sent
+            starts = of[len(have) + np.frombuffer(ends, np.uint8).astype(np.int64)]
+            others = np.concatenate(cls) if cls else starts
+            k = np.concatenate((of[: len(have)], np.where(others == _NONE, starts, others)))
+            c = np.concatenate([have, *counts])
             return _batch([(ids, held, sizes, k[at].tobytes(), c[at].tobytes())], _CLASSED)
 
         for batch in batches:
-            names = ("block", "ids", "held", "sizes", "tokens", "classes", "counts")
-            for b, ids, held, sizes, tokens, k, c in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+            names = ("block", "ids", "held", "sizes", "tokens", "ends", "classes", "counts")
+            for b, ids, held, sizes, tokens, ends, k, c in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
                 if b != block:
                     if text is not None:
                         yield out()
                     block, text, cls, counts = b, None, [], []
                 if ids is not None:
-                    text = (ids, held, sizes, tokens)
+                    text = (ids, held, sizes, tokens, ends)
                 else:
                     cls.append(np.frombuffer(k, np.uint8))
                     counts.append(np.frombuffer(c, np.int64))
@@ -441,7 +448,6 @@ def _score(sent):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for ids, held, sizes, k, c in _rows(batches, "ids held sizes classes counts"):
-            k = np.where(k == _NONE, m.unseen, k)
             size = len(ids)
             of = np.repeat(np.arange(size), sizes)
             before = np.roll(k, 1)  # the end token of the text before
@@ -475,27 +481,23 @@ def score(docs: DataFrame, held_out: Column, top: int = TOP, own: int = OWN, cla
     buckets = max(parts, total["n"] // BUCKET + 1)
     blocks = kept(rows.mapInArrow(_blocks(spark.sparkContext.broadcast(words), buckets), _BLOCK), "blocks")
 
-    own = min(own, len(words))
-    start = exchange(summed(blocks, _pairs(np.minimum(np.arange(len(words) + 1), own), own + 1), (own + 1) ** 2).reshape(own + 1, own + 1), classes, rest=True)
-    of = start[np.minimum(np.arange(len(words)), own)].astype(np.uint8)
+    own, sent = min(own, len(words)), len(words)
+    places = np.concatenate((np.arange(own), own + np.fromiter(map(ending, words[own:]), np.int64, sent - own), own + np.arange(ENDINGS)))
+    units = own + ENDINGS
+    of = exchange(summed(blocks, _pairs(places, units), units * units).reshape(units, units), classes)[places].astype(np.uint8)
     for _ in range(rounds):
-        every = np.append(of, np.uint8(classes - 1))
-        beside = summed(blocks, _beside(every, classes), len(words) * 2 * classes).reshape(-1, 2 * classes)
-        of = moved(beside, of, classes, own)
+        of = moved(summed(blocks, _beside(of, classes), len(of) * 2 * classes).reshape(-1, 2 * classes), of, classes, own)
 
-    # class bigrams among the words sent place the others
-    n = summed(blocks, _pairs(np.append(of, np.uint8(classes)), classes + 1), (classes + 1) ** 2).reshape(classes + 1, classes + 1)[:classes, :classes]
-    asked = blocks.mapInArrow(_ask(np.append(of, np.uint8(_NONE)), classes), _ASK)
+    n = summed(blocks, _pairs(of, classes), classes * classes).reshape(classes, classes)
+    asked = blocks.mapInArrow(_ask(of, classes), _ASK)
     answers = kept(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(likely(n).astype(np.float32), classes), _ANSWER), "answers")
-    sums = np.stack((np.bincount(of, counts, classes), np.bincount(of[counts > 0], minlength=classes)))
-    others = np.zeros((2, classes), np.int64)
+    mine = of[:sent]
+    sums = np.stack((np.bincount(mine, counts, classes), np.bincount(mine[counts > 0], minlength=classes)))
     for r in answers.where("block is null").select("counts").toLocalIterator():  # one row per bucket
-        others += np.frombuffer(r["counts"], np.int64).reshape(2, classes)
-    unseen = int(others[1].argmax())
-    sums = sums + others
+        sums = sums + np.frombuffer(r["counts"], np.int64).reshape(2, classes)
     null = F.lit(None).cast("binary")
-    texts = blocks.select("block", F.lit(-1).alias("first"), "ids", "held", "sizes", "tokens", null.alias("classes"), null.alias("counts"))
-    told = answers.where("block is not null").select("block", "first", *[null.alias(c) for c in ("ids", "held", "sizes", "tokens")], "classes", "counts")
+    texts = blocks.select("block", F.lit(-1).alias("first"), "ids", "held", "sizes", "tokens", "ends", null.alias("classes"), null.alias("counts"))
+    told = answers.where("block is not null").select("block", "first", *[null.alias(c) for c in ("ids", "held", "sizes", "tokens", "ends")], "classes", "counts")
     both = texts.unionByName(told).repartition(parts, "block").sortWithinPartitions("block", "first")
     classed = kept(both.mapInArrow(_classed(spark.sparkContext.broadcast((of, counts))), _CLASSED), "classed")
 
@@ -503,4 +505,4 @@ def score(docs: DataFrame, held_out: Column, top: int = TOP, own: int = OWN, cla
     prior = (n.sum(0) + 1) / (n.sum() + classes)
     step = np.log10((n + prior) / (n.sum(1, keepdims=True) + 1))
     mass = np.log10(sums[0] + ADD * (sums[1] + 1))
-    return classed.mapInArrow(_score(spark.sparkContext.broadcast(Model(of, counts, total["n"], total["v"], step, mass, unseen))), _OUT)
+    return classed.mapInArrow(_score(spark.sparkContext.broadcast(Model(total["n"], total["v"], step, mass))), _OUT)

@@ -277,11 +277,11 @@ def test_brown_score_by_the_formula(spark):
     c = Counter(w for t in train for w in t)
     order = [b"\n", *sorted(set(c) - {b"\n"}, key=lambda w: (-c[w], w))]
     place = {w: i for i, w in enumerate(order)}
-    pairs = np.zeros((len(order) + 1,) * 2, np.int64)
+    pairs = np.zeros((len(order) + brown.ENDINGS,) * 2, np.int64)
     for t in train:
         for a, b in zip([b"\n", *t], t):
             pairs[place[a], place[b]] += 1
-    of = brown.exchange(pairs, classes, rest=True)
+    of = brown.exchange(pairs, classes)
     member = np.eye(classes, dtype=np.int64)[of]
     n = member.T @ pairs @ member
     prior = (n.sum(0) + 1) / (n.sum() + classes)
@@ -290,7 +290,7 @@ def test_brown_score_by_the_formula(spark):
     def plain(text):
         k, total = of[0], 0.0
         for w in [x.lower() for x in split(text)] + [b"\n"]:
-            j = of[place[w]] if w in place else 0
+            j = of[place[w] if w in place else len(order) + brown.ending(w)]
             total += math.log10((n[k, j] + prior[j]) / (n[k].sum() + 1)) + math.log10((c[w] + 0.1) / mass[j])
             k = j
         return round(total, 6)
