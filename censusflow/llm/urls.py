@@ -1,15 +1,18 @@
 """URL filters: rules first, then words in the host judged by naive Bayes.
 
-Host and path are cut by native expressions. Where no rule fits, the host's labels are split into words by the most
-likely segmentation under a unigram dictionary (Viterbi), and a multinomial naive Bayes model scores host words and path
-tokens. The dictionary is a list of seed words and the most frequent hyphen-separated host words and path words of the
-table; the model is trained on all rows, a row teaching `block` if a seed word of that kind is among its host's words.
+Host and path are cut by native expressions. The host's labels are split into words by the most likely segmentation under a
+unigram dictionary (Viterbi), and a multinomial naive Bayes model scores host words and path tokens. The dictionary is a short
+list of common words and the most frequent hyphen-separated host words and path words of the table, of 2 to LETTERS letters.
+Rows to which a rule applies teach the model: the rule's verdict is their label. Where no rule fits, the model's verdict
+counts: block if it is likelier than not.
+
 Both tables are aggregated over all rows, and totals, sums and vocabulary are those of all entries. The most frequent `top`
 entries of each (a fixed number) are sent to tasks; the others are looked up by keyed joins, of each host's substrings and of
 each (host, path)'s tokens, so the number sent changes no result.
 
-Defined cases: a null url or one without :// has an empty host and path and is judged by the prior alone; repeated rows
-are judged each; an empty table gives an empty result.
+Defined cases: a null url or one without :// has an empty host and path and is judged by the prior alone; without rows under
+rules all others are allowed; repeated rows teach and are judged each; columns beside page_id, url and those that `teaches`
+reads are left out; very long hosts and paths are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ from censusflow.llm.common import kept
 
 # Fixed values of the contract: rules and verdicts.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-BAD = "spam farm cheap pills casino win bet poker porn xxx viagra loan loans jackpot lottery replica cracked warez torrent clickbait".split()
+# Common words of host names and paths that the dictionary always has.
 PLAIN = "www blog mail shop news home page index article example test site web online free best world the and of in on to".split()
-TOP, UNKNOWN, PER_LETTER = 50_000, -9.0, -1.6
+TOP, LETTERS, UNKNOWN, PER_LETTER = 50_000, 40, -9.0, -1.6
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -57,7 +60,7 @@ def path_tokens(path: str) -> list[str]:
 
 
 def labels(host: str) -> list[str]:
-    return [x for x in re.split(r"[^a-z]+", host) if x]
+    return re.findall(r"[^\W_]+", host)
 
 
 class Segmenter:
@@ -79,26 +82,21 @@ class Segmenter:
         return self.known[name]
 
     def _viterbi(self, name: str, extra: dict[str, float]) -> list[str]:
-        n = len(name)
         cost = ChainMap(extra, self.cost) if extra else self.cost
-        best: list[tuple[float, int, bool]] = [(0.0, 0, True)]
-        for j in range(1, n + 1):
-            p, i, known = best[j - 1]
-            # an unknown stretch goes on, or starts here
-            options = [(p + PER_LETTER + (UNKNOWN if known or j == 1 else 0.0), j - 1, False)]
-            options += [(best[i][0] + cost[name[i:j]], i, True) for i in range(max(0, j - self.longest), j) if name[i:j] in cost]
-            best.append(max(options))
-        out, j, end = [], n, None
+        # the best way to each place that ends with a word, and the best that ends inside an unknown stretch: cost, where the last part starts
+        word, inside = [(0.0, 0)], [(-math.inf, 0)]
+        for j in range(1, len(name) + 1):
+            known = [(max(word[i][0], inside[i][0]) + cost[name[i:j]], i) for i in range(max(0, j - self.longest), j) if name[i:j] in cost]
+            word.append(max(known, default=(-math.inf, 0)))
+            inside.append(max((inside[j - 1][0], inside[j - 1][1]), (word[j - 1][0] + UNKNOWN, j - 1)))
+            inside[j] = (inside[j][0] + PER_LETTER, inside[j][1])
+        out, j, was_word = [], len(name), True
         while j:
-            _, i, known = best[j]
-            if known:
-                out.append(name[i:j] if end is None else name[i:j])
-                j = i
-            else:
-                k = j
-                while j and not best[j][2]:
-                    j = best[j][1]
-                out.append(name[j:k])
+            # a stretch begins after a word, so before one of them only a word can end
+            of_word = word[j][0] >= inside[j][0] if was_word else True
+            i = (word if of_word else inside)[j][1]
+            out.append(name[i:j])
+            j, was_word = i, of_word
         return out[::-1]
 
     def host(self, host: str, extra: list[dict] | None = None) -> list[str]:
@@ -117,8 +115,8 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
             for label in host.split("."):
                 if "-" in label:
-                    counts.update(w for w in re.findall(r"[a-z]{2,}", label))
-            counts.update(w for w in path_tokens(path) if w != "#" and len(w) > 1)
+                    counts.update(w for w in re.findall(r"[^\W\d_]+", label) if 2 <= len(w) <= LETTERS)
+            counts.update(w for w in path_tokens(path) if w != "#" and 2 <= len(w) <= LETTERS)
         if len(counts) > 200_000:
             yield _counted(counts)
             counts = Counter()
@@ -153,8 +151,7 @@ def _teach(sent):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg, counts = Segmenter(*sent.value), Counter()
         for batch in batches:
-            for _, path, words in _rows(batch, seg):
-                kind = "b" if any(w in BAD for w in words) else "a"
+            for kind, (_, path, words) in zip(batch.column("kind").to_pylist(), _rows(batch, seg), strict=True):
                 counts.update(f"{kind}h:{w}" for w in words)
                 counts.update(f"{kind}p:{w}" for w in path_tokens(path))
                 counts[kind] += 1
@@ -213,16 +210,20 @@ def _judge(words, model):
     return work
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, top: int = TOP) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (probability of block), words (the host's)."""
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, top: int = TOP, teaches: Column | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (probability of block), words (the host's).
+
+    teaches: which of the rows under rules teach the model; all if not given.
+    """
     spark = pages.sparkSession
-    parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    teaches = F.lit(True) if teaches is None else F.coalesce(teaches, F.lit(False))
+    parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), teaches.alias("teaches"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     broadcast = spark.sparkContext.broadcast
 
     found = kept(parts.select("host", "path").mapInArrow(_dictionary, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "dictionary")
     all_ = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.max("c"), F.lit(1)).alias("most"), F.coalesce(F.max(F.length("word")), F.lit(1)).alias("longest")).first()
-    seeds = list(dict.fromkeys((*BAD, *PLAIN)))
+    seeds = PLAIN
     dictionary = {r["word"]: r["c"] for r in found.orderBy(F.desc("c"), "word").limit(top).collect()}
     dictionary |= {r["word"]: r["c"] for r in found.where(F.col("word").isin(seeds)).collect()}
     total = all_["c"] + 1
@@ -238,7 +239,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, top: int =
         parts = parts.withColumn("extra", F.lit(None).cast("array<struct<word:string,c:bigint>>"))
     pair = parts.select("host", "path", "extra")
 
-    taught = kept(pair.mapInArrow(_teach(words), "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "taught")
+    lessons = parts.select("host", "path", "extra", F.when(says == "block", F.lit("b")).otherwise(F.lit("a")).alias("kind")).where(rule.isNotNull() & F.col("teaches"))
+    taught = kept(lessons.mapInArrow(_teach(words), "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "taught")
     rows = {"a": 0, "b": 0} | {r["word"]: r["c"] for r in taught.where("length(word) = 1").collect()}
     a, b = (F.sum(F.when(F.col("word").startswith(k), F.col("c")).otherwise(0)).alias(k) for k in "ab")
     tokens = kept(taught.where("length(word) > 1").groupBy(F.expr("substring(word, 2)").alias("token")).agg(a, b), "tokens")
@@ -253,5 +255,5 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, top: int =
     else:
         parts = parts.withColumn("more", F.lit(0.0))
     out = parts.select("page_id", "host", "path", rule.alias("rule"), says.alias("said"), "extra", "more").mapInArrow(_judge(words, model), "page_id long, host string, path string, rule string, said string, score double, words string")
-    verdict = F.coalesce("said", F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
+    verdict = F.coalesce("said", F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", "words")

@@ -1,6 +1,7 @@
 """Corpus operators against plain versions on small fixtures with nulls, empty and repeated rows, ties and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -344,18 +345,44 @@ URLS = [
     ("y.net/fr/", "", "", None, None),
     (None, "", "", None, None),
     ("https://cheappillsonline.org/en", "cheappillsonline.org", "/en", None, "block"),
+    ("https://n1cheappills24.org/p", "n1cheappills24.org", "/p", None, "block"),
+    ("https://newsblog.org/", "newsblog.org", "/", None, "allow"),
 ]
 
 
 def test_urls(spark):
-    seeds = [(100 + i, f"http://{h}.org/p/{i}") for i in range(40) for h in (["cheap-pills", "casino-win"][i % 2] if i % 4 == 0 else f"n{'abcdefgh'[i % 8]}ws",)]
+    """Hosts under rules teach their words; hosts without a rule come out both ways."""
+    seeds = [(100 + i, f"http://{'cheap-pills' if i % 3 else 'casino-win'}.example.com/en/{i}") for i in range(30)] + [(200 + i, f"http://news-{'abcdefgh'[i % 8]}blog.com/p/{i}") for i in range(30)]
+    seeds += [(300 + i, f"http://{'win-cheap' if i % 2 else 'blog-news'}.org/p/{i}") for i in range(20)]
     pages = spark.createDataFrame([*((i, u[0]) for i, u in enumerate(URLS)), *seeds], "page_id long, url string")
-    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    got = {r.page_id: r for r in urls.judge(pages.withColumn("host", F.lit("x"))).collect()}
     for i, (_, host, path, rule, verdict) in enumerate(URLS):
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
-        assert verdict is None or got[i].verdict == verdict
-    assert got[10].words == "cheap pills online org" and {got[100 + i].verdict for i in range(0, 40, 4)} == {"block"}
+        assert verdict is None or got[i].verdict == verdict, i
+    assert got[10].words == "cheap pills online org" and got[11].words == "n1 cheap pills 24 org"
+    assert all(got[300 + i].verdict == ("block" if i % 2 else "allow") and got[300 + i].rule is None for i in range(20))
     assert urls.judge(pages.where("1 = 0")).count() == 0
+    assert {r.verdict for r in urls.judge(pages, teaches=F.lit(False)).where("rule is null").collect()} == {"allow"}
+
+
+def test_viterbi_by_all_segmentations():
+    words = {"ab": 9, "abc": 4, "ca": 7, "bca": 1, "cc": 3, "aab": 2}
+    seg = urls.Segmenter(words, 30, 3)
+
+    def cost(parts):
+        total, unknown = 0.0, False
+        for p in parts:
+            if p in seg.cost:
+                total, unknown = total + seg.cost[p], False
+            else:
+                total, unknown = total + len(p) * urls.PER_LETTER + (0 if unknown else urls.UNKNOWN), True
+        return total
+
+    for _ in range(300):
+        name = "".join(RNG.choice(list("abc"), int(RNG.integers(1, 10))))
+        every = [[name[i:j] for i, j in zip((0, *cut), (*cut, len(name)))] for k in range(len(name)) for cut in itertools.combinations(range(1, len(name)), k)]
+        got = seg.split(name, {})
+        assert "".join(got) == name and abs(cost(got) - max(map(cost, every))) < 1e-9
 
 
 def lcs(a, b):
