@@ -1,15 +1,15 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text is cut into overlapping chunks that cover all of it. Each chunk's bytes get learned vectors and one fixed channel
-(whether the last four bytes also end within the LAGS bytes before), learned filters run over them, and each filter keeps its highest answer in the chunk. The text's features are, per filter, the highest and
-the mean of its chunks' answers; a linear layer makes one probability of them. Labels, language, source and id are never
-inputs.
+(whether the last four bytes also end within the LAGS bytes before), learned filters run over them, and each filter keeps its
+highest answer in the chunk. The text's features are, per filter, the highest and the mean of
+its chunks' answers; a linear layer makes one probability of them. Labels, language, source and id are never inputs.
 
-Fitting takes a bounded sample of labelled texts: at most `per_class` of each label, those with the smallest hash of
-doc_id, and of each at most `per_text` chunks spread evenly over it. The intercept is then moved to the share of labels
-among all training rows.
+Fitting takes a bounded sample of labelled rows: at most `per_class` of each label, those with the smallest hash of doc_id
+among texts of at most `longest` bytes, each with all of its chunks. Of a repeated doc_id one text is taken. The intercept is
+then moved to the share of labels among all training rows.
 
-Defined cases: null and empty texts are a chunk of padding; without labels of both kinds every score is the share of
+Defined cases: null and empty texts are a chunk of padding; very long texts are scored whole, some chunks at a time; without labels of both kinds every score is the share of
 label 1 (0.5 without labels); repeated rows are scored each; columns beside doc_id and text are left out.
 """
 
@@ -27,7 +27,7 @@ from censusflow.llm.common import pieces
 
 CHUNK, STEP, PACE, WIDTH = 512, 448, 4, 3  # a filter sees WIDTH groups of PACE bytes
 EMBED, FILTERS, LAGS = 8, 32, 24  # EMBED counts the fixed channel
-PER_CLASS, PER_TEXT, EPOCHS, BATCH, RATE = 2_000, 6, 8, 64, 4e-3
+PER_CLASS, LONGEST, EPOCHS, BATCH, RATE = 1_500, 32 << 10, 8, 64, 4e-3
 THRESHOLD = 0.3
 
 
@@ -114,6 +114,18 @@ def _gradients(net: Net, c: np.ndarray, first: np.ndarray, label: np.ndarray):
     return [g_embed, g_filters, g_bias, g_out, g_shift]
 
 
+def batches_of(order: np.ndarray, samples: list[np.ndarray], most: int = 8 * BATCH) -> Iterator[np.ndarray]:
+    """Up to BATCH texts of up to `most` chunks together, one text at least."""
+    start, size = 0, 0
+    for k, i in enumerate(order):
+        if k > start and (k - start == BATCH or size + len(samples[i]) > most):
+            yield order[start:k]
+            start, size = k, 0
+        size += len(samples[i])
+    if start < len(order):
+        yield order[start:]
+
+
 def fit(samples: list[np.ndarray], labels: np.ndarray, share: float, seed: int = 7) -> Net:
     """samples: chunks of each text; share: of label 1 among all training rows."""
     rng = np.random.default_rng(seed)
@@ -124,8 +136,7 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, share: float, seed: int =
         step = 0
         for epoch in range(EPOCHS):
             order = rng.permutation(len(samples))
-            for k in range(0, len(order), BATCH):
-                part = order[k : k + BATCH]
+            for part in batches_of(order, samples):
                 first = np.cumsum([0, *(len(samples[i]) for i in part[:-1])])
                 grads = _gradients(net, np.concatenate([samples[i] for i in part]), first, labels[part].astype(np.float32))
                 step += 1
@@ -143,32 +154,20 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, share: float, seed: int =
     return net
 
 
-def _sample(per_text: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches):
-            out = []
-            for t in texts:
-                c = chunks(t)
-                out.append(np.ascontiguousarray(c[np.unique(np.linspace(0, len(c) - 1, per_text).astype(int))]).tobytes())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "chunks"])
-
-    return work
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, per_text: int = PER_TEXT) -> Net:
-    """labels: doc_id, label (0 or 1; others are left out). Only sampled chunks reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST) -> Net:
+    """labels: doc_id, label (0 or 1; others are left out). Only sampled texts reach the driver: 2 * per_class * longest bytes at most."""
     labels = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
     total = {r["label"]: r["c"] for r in labels.groupBy("label").agg(F.count("*").alias("c")).collect()}
     share = total.get(1, 0) / sum(total.values()) if total else 0.5
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).select("doc_id", "text")
+    named = short.select("doc_id").join(labels, "doc_id").distinct()
     picked = None
     for k in (0, 1):
-        part = labels.where(F.col("label") == k).orderBy(*order).limit(per_class)
+        part = named.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(_sample(per_text), "doc_id long, label int, chunks binary")
-    rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["label"], bytes(r["chunks"])))[: 2 * per_class]
-    samples = [np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in rows]
-    return fit(samples, np.array([r["label"] for r in rows]), share)
+    rows = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["label"]))
+    return fit([chunks(r["text"].encode()) for r in rows], np.array([r["label"] for r in rows]), share)
 
 
 def probabilities(net: Net, texts: list[bytes]) -> np.ndarray:
