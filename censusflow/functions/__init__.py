@@ -23,21 +23,15 @@ CLIENT_TYPE_ALIASES = {
     "secret sync": "secret-sync",
 }
 
-# Accepted layouts of a time, each with its rewriting to one form with an explicit zone.
-_LAYOUTS = (
-    (r"^(\d{4}-\d\d-\d\d) (\d{1,2}:\d\d:\d\d(?:[.,]\d+)?)(?: \+0000 UTC|Z)\z", "$1T$2Z"),
-    (r"^(\d{4}-\d\d-\d\dT\d{1,2}:\d\d:\d\d(?:[.,]\d+)?)\z", "$1Z"),
-    (r"^(\d{4}-\d\d-\d\d)\z", "$1T00:00:00Z"),
-    (r"^(\d\d)/(\d\d)/(\d{4})\z", "$3-$1-$2T00:00:00Z"),
-    (r"^(.{10}T)(\d:)", "$10$2"),
-    (r"^(.{19}),(\d)", "$1.$2"),
-)
+# The characters that Unicode counts as white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 _FORM = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)\z"
 
 
 def trimmed(c: Column) -> Column:
     """Cut Unicode white space at both ends; null reads as empty."""
-    return F.coalesce(F.regexp_replace(c, r"(?U)^\s+|\s+\z", ""), F.lit(""))
+    return F.coalesce(F.btrim(c, F.lit(WHITE_SPACE)), F.lit(""))
 
 
 def alias_base(c: Column) -> Column:
@@ -57,7 +51,12 @@ def identity_group(c: Column) -> Column:
 
 def client_type(c: Column) -> Column:
     """Canonical client type; blank means unknown, other spellings pass through in lower case."""
-    key = F.lower(trimmed(c))
+    return client_type_of(trimmed(c))
+
+
+def client_type_of(c: Column) -> Column:
+    """The same of trimmed text."""
+    key = F.lower(c)
     table = F.create_map(*[F.lit(x) for kv in CLIENT_TYPE_ALIASES.items() for x in kv])
     return F.coalesce(table[key], F.when(key == "", F.lit("unknown")).otherwise(key))
 
@@ -74,14 +73,32 @@ def utc_ntz(ts: Column) -> Column:
 
 
 def parse_time(c: Column) -> Column:
-    """Time of a closed set of layouts as UTC TIMESTAMP_NTZ; null if missing or in any other form.
+    """Time of a closed set of layouts as UTC TIMESTAMP_NTZ; null if missing or in any other form."""
+    return time_of(trimmed(c))
+
+
+def time_of(c: Column) -> Column:
+    """The same of trimmed text.
+
+    A lambda over one element binds the text to a name: the rule below reads it many times, and written out in a projection of
+    many columns it makes a method too large for Java's compiler (measured: 3.6 s against 2.35 s for all of normalize()).
+    """
+    return F.transform(F.array(c), _time_rule)[0]
+
 
-    The text is rewritten to one form with an explicit zone, so the session's zone never matters. Each step reads the
-    one before it once, so the expression stays small when filters repeat it.
+def _time_rule(c: Column) -> Column:
+    """The text is rewritten to one form with an explicit zone, so the session's zone never matters. Layouts are told apart by
+    length and single characters; whatever comes out wrong fails the one strict form at the end.
     """
-    form = trimmed(c)
-    for pattern, to in _LAYOUTS:
-        form = F.regexp_replace(form, pattern, to)
+    n, day, rest = F.length(c), F.substring(c, 1, 10), F.substr(c, F.lit(12))
+    form = (
+        F.when((n == 10) & (F.substring(c, 3, 1) == "/"), F.concat(F.substring(c, 7, 4), F.lit("-"), F.substring(c, 1, 2), F.lit("-"), F.substring(c, 4, 2), F.lit("T00:00:00Z")))
+        .when(n == 10, F.concat(c, F.lit("T00:00:00Z")))
+        .when(F.substring(c, 11, 1) == " ", F.concat(day, F.lit("T"), F.when(c.endswith(" +0000 UTC"), F.substr(rest, F.lit(1), n - 21)).when(c.endswith("Z"), F.substr(rest, F.lit(1), n - 12)), F.lit("Z")))
+        .when(F.translate(rest, "Z+-", "") == rest, F.concat(c, F.lit("Z")))
+        .otherwise(c)
+    )
+    form = F.regexp_replace(F.regexp_replace(form, r"^(.{10}T)(\d:)", "$10$2"), r"^(.{19}),(\d)", "$1.$2")
     ts = utc_ntz(F.regexp_extract(form, _FORM, 0).try_cast("timestamp"))
     return F.nullif(ts, F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00")))
 

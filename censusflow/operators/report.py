@@ -47,6 +47,11 @@ def summary(df: DataFrame, *by: str) -> DataFrame:
     return out.where("n > 0")
 
 
+def summary_order() -> list[Column]:
+    """Order of the lines of summary() as they are shown: mounts by name, types by rank, each subtotal after its counts, the total last."""
+    return [F.col("level") == 3, F.col("mount_label"), F.col("level"), F.col("type_rank"), F.col("client_type")]
+
+
 def alias_hints(df: DataFrame) -> DataFrame:
     """Aliases that have several client ids on one mount."""
     return (
@@ -67,7 +72,8 @@ def mount_groups(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def display(df: DataFrame) -> DataFrame:
+def display(df: DataFrame, *more) -> DataFrame:
+    """The columns of record tables; more: columns to carry along."""
     return df.select(
         ORD,
         "namespace_path",
@@ -79,14 +85,20 @@ def display(df: DataFrame) -> DataFrame:
         "client_id",
         fn.base_name(F.col("source")).alias("source_file"),
         "entity_alias_name",
+        *more,
     )
 
 
-def display_widths(df: DataFrame) -> DataFrame:
-    """One row: the longest value of each displayed column in characters, and whether any alias is present."""
-    shown = display(df)
-    names = [c for c in shown.columns if c != ORD]
-    return shown.agg(
+def display_widths(df: DataFrame, *by: Column) -> DataFrame:
+    """The longest value of each displayed column in characters, and whether any alias is present; one row, or one per `by`."""
+    names = [c for c in display(df).columns if c != ORD]
+    shown = display(df, *by)
+    return shown.groupBy(*[c for c in shown.columns if c not in (*names, ORD)]).agg(
         *[F.coalesce(F.max(F.length(c)), F.lit(0)).cast("long").alias(f"w_{c}") for c in names],
         F.coalesce(F.bool_or(F.col("entity_alias_name") != ""), F.lit(False)).alias("has_alias"),
     )
+
+
+def table_widths(m) -> list[int]:
+    """Widths of a table's columns from a row of display_widths()."""
+    return [max(w, m[f"w_{name}"]) for _, w, name in (*TABLE, *([ALIAS_COLUMN] if m["has_alias"] else []))]

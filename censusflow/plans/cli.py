@@ -28,16 +28,35 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-since-file", "--since-file", action="append", default=[], metavar="NAME=DATE", help="the same for one file")
     for short, text in {"p": "count certificate clients apart", "d": "one row per client id", "dedup-alias": "one row per alias and identity group", "dedup-jwt": "drop token logins seen through another method", "debug": "show records", "per-file": "one summary per file too"}.items():
         p.add_argument(f"-{short}", f"--{short}", action="store_true", help=text)
+    p.add_argument("-single-line", "--single-line", action="store_true", help="no field holds a line break: large files are read in parts")
     p.add_argument("-help", "--help", "-h", action="store_true", help="show this text")
     return p
 
 
+# Spellings of true and false after an option that is on or off.
+TRUE, FALSE = ("1", "t", "T", "true", "TRUE", "True"), ("0", "f", "F", "false", "FALSE", "False")
+
+
+def switched(argv: list[str], switches: set[str]) -> list[str]:
+    """Arguments with -x=true as -x, and without -x=false."""
+    out = []
+    for a in argv:
+        name, eq, value = a.partition("=")
+        if eq and name.startswith("-") and name.lstrip("-") in switches and value in (*TRUE, *FALSE):
+            out += [name] if value in TRUE else []
+        else:
+            out.append(a)
+    return out
+
+
 def time_of(spark: SparkSession, text: str) -> datetime | None:
     return spark.range(1).select(fn.parse_time(F.lit(text)).alias("t")).first()["t"]
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
-    args = parser().parse_intermixed_args(argv)
+    options = parser()
+    on_off = {s.lstrip("-") for a in options._actions if a.nargs == 0 for s in a.option_strings}
+    args = options.parse_intermixed_args(switched(sys.argv[1:] if argv is None else argv, on_off))
     paths = [*args.f, *args.files]
     if args.help or not paths:
         parser().print_help(out)
@@ -58,7 +77,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         if args.since and not since:
             raise ExportError(f'error: --since "{args.since}" is not a recognized date/time format')
         options = Options(args.sort, args.namespace, args.type, since, cutoffs, args.p, args.d, args.dedup_alias, args.dedup_jwt, args.debug, args.per_file)
-        raw = read_exports(spark, paths, warn=True)
+        raw = read_exports(spark, paths, multi_line=not args.single_line, warn=True)
         if raw.isEmpty():
             raise ExportError("no records found across the provided CSV files")
     except ValueError as e:

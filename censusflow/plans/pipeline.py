@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from censusflow.operators import dedup, filters
 from censusflow.operators.clean import normalize
 from censusflow.operators.order import sort_key
+from censusflow.sources.shared import kept
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ class Options:
 
 @dataclass(frozen=True)
 class Stages:
-    """Lazy frames at the points that reports look at."""
+    """Frames at the points that reports look at; lazy, but for a table kept before the anti join."""
 
     snapshot: DataFrame
     after_alias: DataFrame
@@ -55,6 +56,8 @@ def run(raw: DataFrame, options: Options) -> Stages:
     if options.dedup_client_id:
         df = dedup.by_client_id(df)
     if options.dedup_jwt:
+        if options.dedup_alias or options.dedup_client_id:
+            df = kept(df, "deduplicated")  # the anti join reads it twice
         df = dedup.jwt_seen_elsewhere(df)
     if options.namespace:
         df = filters.by_namespace(df, options.namespace)

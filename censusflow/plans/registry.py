@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from censusflow import functions as fn
 from censusflow.operators import dedup, filters, order, report
 from censusflow.operators.clean import COLUMNS, ORD, normalize
+from censusflow.plans import csv_queries
 from censusflow.plans.pipeline import Options, run
 from censusflow.sources.derived import RULES, derived_export
 
@@ -133,6 +134,15 @@ def _over_norm() -> dict[str, Query]:
         ),
         "has_alias": (lambda d: d.agg(F.coalesce(F.bool_or(F.col("entity_alias_name") != ""), F.lit(False)).alias("has_alias")), _q("select coalesce(bool_or(entity_alias_name <> ''), false) as has_alias from norm")),
     }
+    kinds = " ".join(f"when '{t}' then {i}" for i, t in enumerate(report.TYPE_ORDER))
+    out["summary_order"] = (
+        lambda d: order.ranked(report.summary(d).withColumn("type_rank", report.type_rank(F.col("client_type"))), *report.summary_order(), name="line").select("line", "mount_label", "client_type", "level", "n"),
+        _q(f"select row_number() over (order by level = 3, mount_label, level, case client_type {kinds} else {len(report.TYPE_ORDER)} end, client_type) as line, * from ({_sql_summary('norm')})"),
+    )
+    out["mount_order"] = (
+        lambda d: order.ranked(report.mount_groups(d, "namespace_path"), F.col("first_key").asc_nulls_first(), F.col("first_ord"), name="place").select("place", "mount_label", "n"),
+        _q(f"select row_number() over (order by k asc nulls first, o) as place, mount_label, n from (select mount_label, count(*) as n, min(namespace_path) as k, min(_ord) filter (namespace_path = k0) as o from (select *, {_LABEL} as mount_label, min(namespace_path) over (partition by {_LABEL}) as k0 from norm) group by 1)"),
+    )
     for key in order.SORT_KEYS:
         out[f"sort_{key}"] = (
             lambda d, k=key: order.ranked(d, *order.sort_columns(k)).select("rank", ORD, k if k == "client_type" else "client_type", F.col(k).alias("sort_value")),
@@ -184,8 +194,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline_full": pipeline_full}
     out |= {k: (lambda s, d, f=f: f(derived_export(s, d))) for k, (f, _) in _over_raw().items()}
     out |= {k: (lambda s, d, f=f: f(normalize(derived_export(s, d)))) for k, (f, _) in _over_norm().items()}
-    return out
+    return out | csv_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline_full": _FULL_SQL} | {k: q for k, (_, q) in (_over_raw() | _over_norm()).items()}
+    return {"pipeline_full": _FULL_SQL} | {k: q for k, (_, q) in (_over_raw() | _over_norm()).items()} | csv_queries.SQL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,6 @@ from censusflow import functions as fn
 from censusflow.operators import dedup, report
 from censusflow.operators.clean import ORD
 from censusflow.operators.filters import is_pki
-from censusflow.operators.order import sort_columns
 from censusflow.plans.pipeline import Options, Stages
 
 
@@ -77,11 +77,8 @@ def table_text(rows: Iterable, widths: Sequence[int] | None = None, alias: bool
 
 def table(df: DataFrame, *order) -> Iterator[str]:
     """A record table of a whole frame: one aggregate for the widths, then the rows in order."""
-    shown = report.display(df)
     m = report.display_widths(df).first()
-    columns = [*report.TABLE, *([report.ALIAS_COLUMN] if m["has_alias"] else [])]
-    widths = [max(w, m[f"w_{name}"]) for _, w, name in columns]
-    return table_text(shown.orderBy(*(order or [F.col(ORD)])).toLocalIterator(), widths, m["has_alias"])
+    return table_text(report.display(df).orderBy(*(order or [F.col(ORD)])).toLocalIterator(), report.table_widths(m), m["has_alias"])
 
 
 def _runs(rows: Iterable, key) -> Iterator[list]:
@@ -105,8 +102,7 @@ def alias_groups_text(df: DataFrame, heading: str, rule: int) -> Iterator[str]:
     yield f"{heading} ({groups} group(s))"
     yield "=" * rule
     members = dedup.alias_group_members(df)
-    shown = report.display(members).join(members.select(ORD, "alias_base", "alias_group", "first_ord"), ORD)
-    rows = shown.orderBy("first_ord", ORD).toLocalIterator()
+    rows = report.display(members, "alias_base", "alias_group", "first_ord").orderBy("first_ord", ORD).toLocalIterator()
     for group in _runs(rows, lambda r: (r["alias_base"], r["alias_group"])):
         yield ""
         yield f'Alias group: "{group[0]["alias_base"]}"  file: {group[0]["source_file"]}'
@@ -128,6 +124,13 @@ def debug_text(stages: Stages, options: Options) -> Iterator[str]:
         yield from alias_groups_text(stages.snapshot, "Debug: alias groups in input data", 47)
     final, key = stages.final, options.sort.strip().lower()
     mounts = report.mount_groups(final, key).orderBy(F.col("first_key").asc_nulls_first(), "first_ord").collect()
+    label = fn.mount_label(F.col("mount_path"))
+    widths = {r["_mount"]: r for r in report.display_widths(final, label.alias("_mount")).collect()}
+    # all tables in one sort, by the place of the mount's first row
+    first = report.mount_groups(final, key).select(F.col("mount_label").alias("_mount"), F.col("first_key").alias("_key"), F.col("first_ord").alias("_first"))
+    rows = final.withColumn("_mount", label).join(first, "_mount")
+    rows = report.display(rows, "_mount", "_key", "_first", F.col(key).alias("_by")).orderBy(F.col("_key").asc_nulls_first(), "_first", F.col("_by").asc_nulls_first(), ORD).toLocalIterator()
+    tables = itertools.groupby(rows, lambda r: r["_mount"])
     yield f"Debug: records by mount path ({len(mounts)} mount(s))"
     yield "=" * 42
     hints = {}
@@ -136,7 +139,9 @@ def debug_text(stages: Stages, options: Options) -> Iterator[str]:
     for m in mounts:
         yield ""
         yield f"Mount: {m['mount_label']} ({m['n']} record(s))"
-        yield from table(final.where(fn.mount_label(F.col("mount_path")) == m["mount_label"]), *sort_columns(key))
+        _, shown = next(tables)
+        w = widths[m["mount_label"]]
+        yield from table_text(shown, report.table_widths(w), w["has_alias"])
         for h in hints.get(m["mount_label"], []):
             yield f'  !! alias "{h["alias_base"]}" has {h["n"]} records with different client_ids — use -dedup-alias to collapse'
     yield ""

@@ -73,10 +73,8 @@ def scan(spark: SparkSession, path: str, file_ord: int = 0, multi_line: bool = T
     cells = header(spark, path)
     at = resolve(cells, path)
     schema = ", ".join([f"_c{i} string" for i in range(len(cells))] + ["_bad string"])
-    reader = spark.read.schema(schema).options(**OPTIONS, multiLine=multi_line)
-    if not multi_line:
-        reader = reader.option("columnPruning", False)
-    rows = reader.csv(path)
+    # without pruning, so that a row's width is always compared with the whole header's
+    rows = spark.read.schema(schema).options(**OPTIONS, multiLine=multi_line, columnPruning=False).csv(path)
     order = F.struct(F.lit(file_ord).alias("file_ord"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
     data = [(fn.trimmed(F.col(f"_c{at[c]}")) if c in at else F.lit("")).alias(c) for c in DATA]
     return rows.select(order.alias(ORD), F.lit(path).alias("source"), *data, F.col("_bad"))

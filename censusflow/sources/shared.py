@@ -11,9 +11,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in the session; one of our own only where none is named, as in tests."""
+    """The folder named in the session; one of our own only where none is named and all runs on one machine, as in tests."""
     named = spark.conf.get(SETTING, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set(SETTING, named)
     return named.rstrip("/")
