@@ -2,17 +2,21 @@
 
 A window is k consecutive words of one document. Its minimiser is the least hash among its m-word grams; neighbouring
 windows mostly share it, and a run of them (a super-k-mer) travels as one packed string to the minimiser's bucket. Equal
-windows have equal minimisers, so they meet in one bucket, where sorting the windows' own bytes finds the equal ones.
+windows have equal minimisers, so they meet in one bucket, where sorting the windows exactly finds the equal ones.
 
 Only minimisers that occur in two documents at least can hold a shared window, so a first pass over (minimiser, doc_id)
-pairs decides which runs travel. A minimiser in more than `hot` documents would make its bucket large: its runs hold the
-128-bit digests of their windows instead, a keyed min over digests (combined in each task first) finds the windows that
-documents share, and each run meets those of its own minimiser in a join that Spark can split. Nothing is capped: hot
-minimisers give the same result by that other way.
+pairs decides which runs travel. A string goes to its bucket once per step of a task, with the smallest and largest doc_id
+that have it, so copies by the thousand weigh little. The runs of a minimiser that stands in more than `hot` documents are cut
+again by a second minimiser over longer grams, which splits its bucket; this changes no result. A bucket gives, for each of
+its strings, the smallest doc_id that has each window, and a join by the string's digest, which Spark can split, brings that
+back to all documents that have the string.
+
+Windows are sorted by position: words are numbered, and ranks of 1, 2, 4, ... words give the rank of k words, so no window is
+copied. Many buckets are sorted at once.
 
 Defined cases: null or empty text has no words; a null doc_id is neither an earlier nor a later document, so its text
 stays; rows with one doc_id count as one document and are never removed on each other's account; columns beside doc_id
-and text are left out of the work. An empty table gives an empty result.
+and text are left out of the work; a very long text is one step of its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +31,19 @@ from pyspark.sql import functions as F
 
 from censusflow.llm.common import Words, kept, pieces
 
-K, M, HOT = 50, 8, 256
+K, M, LONG, HOT = 50, 8, 24, 4096
+#: Words that are sorted at once; a bucket with more is sorted alone.
+SORT = 1 << 19
+
+
+def minimisers(w: Words, k: int, m: int) -> np.ndarray:
+    """Least hash of the m-word grams of k words from each word on; there are k words at least."""
+    n = len(w.hash) - k + 1
+    least, span, width = w.grams(m), 1, k - m + 1
+    while span * 2 <= width:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    return np.minimum(least[:n], least[width - span : width - span + n])
 
 
 def runs(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -36,11 +52,7 @@ def runs(w: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none
-    least, span, width = w.grams(m), 1, k - m + 1
-    while span * 2 <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    least = np.minimum(least[:n], least[width - span : width - span + n])
+    least = minimisers(w, k, m)
     text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
     at = np.flatnonzero(text[:n] == text[k - 1 :])
     if not len(at):
@@ -62,12 +74,18 @@ def _marks(k: int, m: int):
     return work
 
 
-def _digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+_TRAVEL = "bucket long, run binary, doc_id long, tag long, start int, n int, lo long, hi long, packed binary"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
-def _travel(k: int, m: int):
-    """Runs whose minimiser is shared: packed strings, or the digests of the windows where the minimiser is hot."""
+def _batch(rows: list, schema: str) -> pa.RecordBatch:
+    names = [c.split() for c in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [[] for _ in names]
+    return pa.record_batch([pa.array(c, _TYPES[t]) for c, (_, t) in zip(cols, names, strict=True)], names=[n for n, _ in names])
+
+
+def _travel(k: int, m: int, long: int):
+    """Runs whose minimiser is shared, and their strings: each once, with the documents of this step that have it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
@@ -75,7 +93,9 @@ def _travel(k: int, m: int):
             start, length, least, text = runs(w, k, m)
             ids, tags = batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist()
             shared = [dict(zip(a, b, strict=True)) for a, b in zip(batch.column("shared").to_pylist(), batch.column("hot").to_pylist(), strict=True)]
-            rows: list[tuple] = []
+            second = minimisers(w, k, long).view(np.int64) if any(h for d in shared for h in d.values()) else None
+            rows: list[list] = []
+            first: dict[bytes, list] = {}
             words, of = [], -1
             for s, n, x, t in zip(start.tolist(), length.tolist(), least.tolist(), text.tolist(), strict=True):
                 hot = shared[t].get(x)
@@ -83,133 +103,115 @@ def _travel(k: int, m: int):
                     continue
                 if t != of:
                     words, of, base = texts[t].split(), t, int(w.first[t])
-                at = s - base
-                packed = words[at : at + n + k - 1]
-                blob = b"".join(_digest(packed[i : i + k]) for i in range(n)) if hot else b" ".join(packed)
-                rows.append((hot, x, ids[t], tags[t], at, n, blob))
-                if len(rows) >= 20000:
-                    yield _rows(rows)
-                    rows = []
-            if rows:
-                yield _rows(rows)
+                parts = [(s, n, x)]
+                if hot:
+                    cut = [0, *(np.flatnonzero(np.diff(second[s : s + n])) + 1).tolist(), n]
+                    parts = [(s + a, b - a, x ^ int(second[s + a]) >> 1) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                for s, n, bucket in parts:
+                    at = s - base
+                    packed = b" ".join(words[at : at + n + k - 1])
+                    run = hashlib.blake2b(packed, digest_size=16).digest()
+                    row = [bucket, run, ids[t], tags[t], at, n, None, None, None]
+                    if run in first:
+                        have = first[run]
+                        have[6], have[7] = min(have[6], ids[t]), max(have[7], ids[t])
+                    else:
+                        first[run] = row
+                        row[6:] = ids[t], ids[t], packed
+                    rows.append(row)
+            for lo in range(0, len(rows), 20_000):
+                yield _batch(rows[lo : lo + 20_000], _TRAVEL)
 
     return work
 
 
-_TRAVEL = "hot boolean, minimiser long, doc_id long, tag long, start int, n int, packed binary"
-_TYPES = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=[x.split()[0] for x in _TRAVEL.split(", ")])
-
-
-def _repeated(group: list[tuple], k: int) -> Iterator[tuple[int, int, int, int]]:
-    """Windows of one bucket key that a smaller doc_id has too: doc_id, tag, start, number of neighbouring windows."""
-    if len({g[0] for g in group}) < 2:
-        return
-    windows = []
-    for i, (doc, _, _, n, packed) in enumerate(group):
-        ends = [-1]
-        at = packed.find(b" ")
-        while at >= 0:
-            ends.append(at)
-            at = packed.find(b" ", at + 1)
-        ends.append(len(packed))
-        windows += [(packed[ends[j] + 1 : ends[j + k]], doc, i, j) for j in range(n)]
-    windows.sort()
-    found: dict[int, list[int]] = {}
-    last, first = None, 0
-    for text, doc, i, j in windows:
-        if text != last:
-            last, first = text, doc
-        elif doc > first:
-            found.setdefault(i, []).append(j)
-    for i, js in found.items():
-        doc, tag, start, _, _ = group[i]
-        js = np.sort(np.array(js))
-        cut = np.flatnonzero(np.diff(js) != 1) + 1
-        for part in np.split(js, cut):
-            yield doc, tag, start + int(part[0]), len(part)
+def window_ranks(strings: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each window of k words, equal for equal windows alone, and how many windows each string has."""
+    words = [s.split(b" ") for s in strings]
+    number: dict[bytes, int] = {}
+    rank = np.array([number.setdefault(w, len(number)) for ws in words for w in ws], np.int64)
+    size = np.array([len(ws) for ws in words], np.int64)
+    span = 1
+    while span < k:
+        step = min(span, k - span)
+        rank = np.unique(rank[:-step] * (rank.max() + 1) + rank[step:], return_inverse=True)[1]
+        span += step
+    windows = size - k + 1
+    at = np.repeat(np.cumsum(size) - size - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+    return rank[at], windows
 
 
-def _buckets(k: int):
-    def out(rows):
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "tag", "start", "n"])
+_FIRST = "run binary, firsts binary"
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, rows = None, [], []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("minimiser", "doc_id", "tag", "start", "n", "packed")]
-            for x, *row in zip(*cols, strict=True):
-                if x != key:
-                    rows += _repeated(group, k)
-                    key, group = x, []
-                group.append(row)
-            if len(rows) >= 20000:
-                yield out(rows)
-                rows = []
-        rows += _repeated(group, k)
-        yield out(rows)
 
-    return work
+def first_seen(strings: list[list], k: int) -> list[tuple]:
+    """(run, smallest doc_id of each of its windows) where that tells some document something. strings: run, lo, hi, packed."""
+    rank, windows = window_ranks([s[3] for s in strings], k)
+    by = np.argsort(rank, kind="stable")
+    head = np.flatnonzero(np.concatenate(([True], np.diff(rank[by]) != 0)))
+    lo, hi = (np.repeat(np.array([s[c] for s in strings], np.int64), windows) for c in (1, 2))
+    least = np.minimum.reduceat(lo[by], head)
+    firsts = np.empty(len(rank), np.int64)
+    firsts[by] = np.repeat(least, np.diff(np.append(head, len(rank))))
+    ends = np.cumsum(windows)
+    useful = np.add.reduceat((firsts < hi).astype(np.int64), ends - windows) > 0
+    return [(strings[i][0], firsts[ends[i] - windows[i] : ends[i]].tobytes()) for i in np.flatnonzero(useful).tolist()]
 
 
-_SEEN = "digest binary, minimiser long, lo long, hi long"
+def _buckets(k: int):
+    """Buckets are neighbours; equal windows are never in different ones, so several are sorted together."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bucket, ready, size = None, {}, [], 0
 
-def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Smallest and largest doc_id of each window digest, summed up within the task as far as memory goes."""
-    found: dict[bytes, list] = {}
+        def close():
+            nonlocal size
+            if len(bucket) > 1 or any(lo < hi for _, lo, hi, _ in bucket.values()):
+                ready.extend(bucket.values())
+                size += sum(len(r[3]) for r in bucket.values()) // 6
+            bucket.clear()
 
-    def out():
-        cols = [list(found), *(list(c) for c in zip(*found.values(), strict=True))] if found else [[], [], [], []]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[c.split()[0] for c in _SEEN.split(", ")])
+        for batch in batches:
+            for b, run, lo, hi, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "run", "lo", "hi", "packed")), strict=True):
+                if b != now:
+                    close()
+                    now = b
+                    if size > SORT:
+                        yield _batch(first_seen(ready, k), _FIRST)
+                        ready, size = [], 0
+                have = bucket.setdefault(run, [run, lo, hi, packed])
+                have[1], have[2] = min(have[1], lo), max(have[2], hi)
+        close()
+        if ready:
+            yield _batch(first_seen(ready, k), _FIRST)
 
-    for batch in batches:
-        for x, doc, blob in zip(*(batch.column(c).to_pylist() for c in ("minimiser", "doc_id", "packed")), strict=True):
-            for i in range(0, len(blob), 16):
-                have = found.setdefault(blob[i : i + 16], [x, doc, doc])
-                have[1], have[2] = min(have[1], doc), max(have[2], doc)
-        if len(found) > 200_000:
-            yield out()
-            found.clear()
-    yield out()
+    return work
 
 
 _RANGE = "doc_id long, tag long, start int, n int"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of hot runs that a smaller doc_id has too."""
-    at, earlier = None, {}
+    """Windows of runs that a smaller doc_id has too."""
     for batch in batches:
         rows: list[tuple] = []
-        for r, (x, doc, tag, start, blob) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("minimiser", "doc_id", "tag", "start", "packed")), strict=True)):
-            if x != at:  # rows of one minimiser are neighbours after the join; their lists are the same
-                at, earlier = x, dict(zip(batch.column("digests")[r].as_py(), batch.column("firsts")[r].as_py(), strict=True))
-            js = np.array([i for i in range(len(blob) // 16) if earlier.get(blob[16 * i : 16 * i + 16], doc) < doc], np.int64)
+        for doc, tag, start, firsts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "start", "firsts")), strict=True):
+            js = np.flatnonzero(np.frombuffer(firsts, np.int64) < doc)
             if len(js):
                 rows += [(doc, tag, start + int(p[0]), len(p)) for p in np.split(js, np.flatnonzero(np.diff(js) != 1) + 1)]
-        if rows:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=[c.split()[0] for c in _RANGE.split(", ")])
+        yield _batch(rows, _RANGE)
 
 
-def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
+def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, long: int = LONG) -> DataFrame:
     """(doc_id, tag, start, n): n windows from word `start` on that also start in a smaller doc_id. tag: hash of the text."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).where("doc_id is not null and text is not null")
     marks = kept(docs.select("doc_id", "text").mapInArrow(_marks(k, m), "doc_id long, minimiser long"), "marks")
     shared = marks.groupBy("minimiser").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c")).where("lo < hi")
     lists = marks.join(shared, "minimiser").groupBy("doc_id").agg(F.collect_list("minimiser").alias("shared"), F.collect_list(F.col("c") > hot).alias("hot"))
-    runs_ = kept(docs.join(lists, "doc_id").select("doc_id", "tag", "text", "shared", "hot").mapInArrow(_travel(k, m), _TRAVEL), "runs")
-    cold = runs_.where("not hot").repartition("minimiser").sortWithinPartitions("minimiser").drop("hot").mapInArrow(_buckets(k), _RANGE)
-    single = runs_.where("hot").select("minimiser", "doc_id", "tag", "start", "packed")
-    seen = single.select("minimiser", "doc_id", "packed").mapInArrow(_seen, _SEEN).groupBy("digest").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.first("minimiser").alias("minimiser"))
-    shared = seen.where("first < last").groupBy("minimiser").agg(F.collect_list("digest").alias("digests"), F.collect_list("first").alias("firsts"))
-    warm = single.join(shared, "minimiser").select("minimiser", "doc_id", "tag", "start", "packed", "digests", "firsts").mapInArrow(_meet, _RANGE)
-    return cold.unionByName(warm)
+    runs_ = kept(docs.join(lists, "doc_id").select("doc_id", "tag", "text", "shared", "hot").mapInArrow(_travel(k, m, long), _TRAVEL), "runs")
+    strings = runs_.where("packed is not null").select("bucket", "run", "lo", "hi", "packed")
+    firsts = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(k), _FIRST)
+    return runs_.select("run", "doc_id", "tag", "start").join(firsts, "run").select("doc_id", "tag", "start", "firsts").mapInArrow(_meet, _RANGE)
 
 
 def _cut(k: int):

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -60,7 +61,7 @@ def split(text):
     return (text or "").encode().split()
 
 
-@pytest.mark.parametrize("hot", [1, 256])
+@pytest.mark.parametrize("hot", [1, 4096])
 def test_substring(docs, none, hot):
     first = {}
     for i, t in TEXTS:
@@ -79,6 +80,19 @@ def test_substring(docs, none, hot):
     assert substring.substring_dedup(none).count() == 0
 
 
+def test_windows_are_told_apart_exactly_without_copies():
+    strings = [" ".join(RNG.choice(["a", "b"], int(RNG.integers(7, 40)))).encode() for _ in range(30)]
+    rank, windows = substring.window_ranks(strings, 7)
+    texts = [tuple(w[i : i + 7]) for s in strings for w in [s.split()] for i in range(len(w) - 6)]
+    assert len(rank) == len(texts) == windows.sum() and len(set(zip(rank.tolist(), texts))) == len(set(texts)) == len(set(rank.tolist()))
+    group = [[bytes([i]), i, i, b" ".join([b"word"] * (20_000 + i))] for i in range(4)]
+    tracemalloc.start()
+    found = substring.first_seen(group, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r[0] for r in found] == [b"\1", b"\2", b"\3"] and not np.frombuffer(found[0][1], np.int64).any() and peak < 20 << 20
+
+
 @pytest.mark.parametrize("hub,parts", [(1, 8), (64, 8), (1, 3)])
 def test_jaccard(spark, docs, none, hub, parts):
     spark.conf.set("spark.sql.shuffle.partitions", parts)
