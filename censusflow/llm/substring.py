@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from censusflow.llm.common import Words, kept, pieces
 
-K, M, LONG, HOT = 50, 8, 24, 4096
+K, M, LONG, HOT = 50, 8, 24, 256
 #: Words that are sorted at once; a bucket with more is sorted alone.
 SORT = 1 << 19
 
