@@ -14,7 +14,7 @@ from censusflow.sources.shared import drop, kept, new_path, shared_dir
 __all__ = ["Words", "components", "drop", "held_out", "kept", "mix", "new_path", "partitions", "pieces", "read", "shared_dir", "table"]
 
 #: Bytes of text that one numpy step handles; a longer text is a step of its own.
-STEP = 4 << 20
+STEP = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
