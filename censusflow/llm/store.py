@@ -180,33 +180,27 @@ def _times(rows: list[int], v: int) -> int:
 
 
 @lru_cache(1)
-def _zeros() -> list[list[int]]:
-    """Linear maps of a CRC-32 register over GF(2) for 1, 2, 4, ... zero bytes."""
+def _zeros() -> list[np.ndarray]:
+    """Linear maps of a CRC-32 register over GF(2) for 1, 2, 4, ... zero bytes, as tables by each of its four bytes."""
     op, out = [0xEDB88320] + [1 << i for i in range(31)], []  # one zero bit
     for k in range(3 + 40):
         if k >= 3:
-            out.append(op)
+            out.append(np.array([[_times(op, v << 8 * byte) for v in range(256)] for byte in range(4)], np.uint32))
         op = [_times(op, x) for x in op]
     return out
 
 
-def shift(crc: int, n: int) -> int:
-    """The register after n zero bytes."""
-    for op in _zeros():
-        if not n:
-            break
-        if n & 1:
-            crc = _times(op, crc)
-        n >>= 1
-    return crc
-
-
-def joined_crc(parts: list[tuple[int, int]]) -> int:
-    """CRC-32 of joined data from (crc, bytes) of its parts."""
-    out = 0
-    for crc, n in parts:
-        out = shift(out, n) ^ crc
-    return out
+def joined_crcs(crc: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """CRC-32 of joined data from those of its parts (of `size` bytes); a document's parts start at `first`, it has one at least."""
+    ends = np.cumsum(size)
+    last = np.repeat(np.append(first[1:], len(size)) - 1, np.diff(np.append(first, len(size))))
+    after = ends[last] - ends  # bytes that follow in the document
+    out = crc.astype(np.uint32)
+    for k, op in enumerate(_zeros()):
+        at = np.flatnonzero(after >> k & 1)
+        v = out[at]
+        out[at] = op[0][v & 255] ^ op[1][v >> 8 & 255] ^ op[2][v >> 16 & 255] ^ op[3][v >> 24]
+    return np.bitwise_xor.reduceat(out, first)
 
 
 _SUMS = "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean"
@@ -214,12 +208,21 @@ _SUMS = "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolea
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        crc, good = [], []
-        for n, root, chunks in zip(*(batch.column(c).to_pylist() for c in ("n", "root", "chunks")), strict=True):
-            chunks.sort(key=lambda c: c["pos"])
-            crc.append(joined_crc([(c["crc"], 4 * c["size"]) for c in chunks]))
-            good.append(all(c["good"] for c in chunks) and merkle([c["name"] for c in chunks]) == root and sum(c["size"] for c in chunks) == n)
-        yield pa.record_batch([batch.column("doc_id"), batch.column("start"), batch.column("n"), pa.array(crc, pa.int64()), pa.array(good, pa.bool_())], names=[c.split()[0] for c in _SUMS.split(", ")])
+        if not len(batch):
+            continue
+        chunks = batch.column("chunks")
+        sizes = chunks.value_lengths().to_numpy()
+        first = np.cumsum(sizes) - sizes
+        flat = pa.StructArray.from_arrays(chunks.flatten().flatten(), fields=list(chunks.type.value_type))
+        flat = flat.take(pa.array(np.lexsort((flat.field("pos").to_numpy(), np.repeat(np.arange(len(sizes)), sizes)))))
+        crc, size = flat.field("crc").to_numpy(), flat.field("size").to_numpy()
+        names, n = flat.field("name").to_pylist(), batch.column("n").to_numpy()
+        good = np.logical_and.reduceat(flat.field("good").to_numpy(zero_copy_only=False), first) & (np.add.reduceat(size, first) == n)
+        roots = [merkle(names[a : a + k]) == root for a, k, root in zip(first.tolist(), sizes.tolist(), batch.column("root").to_pylist(), strict=True)]
+        yield pa.record_batch(
+            [batch.column("doc_id"), batch.column("start"), batch.column("n"), pa.array(joined_crcs(crc, 4 * size, first).astype(np.int64)), pa.array(good & np.array(roots))],
+            names=[c.split()[0] for c in _SUMS.split(", ")],
+        )
 
 
 def _recipes(spark: SparkSession, folder: str) -> DataFrame:

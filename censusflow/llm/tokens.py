@@ -10,6 +10,7 @@ has two generations of at most `limit` pieces; when the younger is full, it beco
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ class Encoder:
     """ids(texts): one uint32 array per text."""
 
     def __init__(self, path: str, limit: int = 500_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads would take its neighbours'
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

@@ -211,7 +211,9 @@ def test_store(spark, docs, none):
     store.write_store(none, folder, tokenizer("byte_bpe_50k.json"), 0)
     assert store.read_sums(spark, folder).count() == 0
     data = RNG.bytes(3000)
-    assert store.joined_crc([(zlib.crc32(data[a:b]), b - a) for a, b in ((0, 7), (7, 7), (7, 2048), (2048, 3000))]) == zlib.crc32(data)
+    parts = [data[a:b] for a, b in ((0, 7), (7, 7), (7, 2048), (2048, 3000), (0, 5), (9, 9), (3, 1000), (1, 2))]  # documents of 4, 1, 3 parts
+    joined = store.joined_crcs(np.array([zlib.crc32(x) for x in parts]), np.array([len(x) for x in parts]), np.array([0, 4, 5]))
+    assert joined.tolist() == [zlib.crc32(b"".join(parts[a:b])) for a, b in ((0, 4), (4, 5), (5, 8))]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
