@@ -1,11 +1,12 @@
 """Token ids of whole texts by a public tokenizer, with a bounded cache of pieces.
 
 The library splits a text at fixed places before it merges, so pieces cut at such places give the ids of the whole. For
-texts of printable Latin characters, tabs and line breaks such places are known: before a single space between words
-(byte-level vocabulary), or at any white space (word vocabulary, which also lets texts be put in lower case first, and new
-words be cut from the signs after them). All other texts, and texts
-that hold the string of a special token, as they are or in lower case, go to the library whole. New pieces go to it many at a time, a special token between them. The cache
-has two generations of at most `limit` pieces; when the younger is full, it becomes the older one.
+texts of printable Latin characters, tabs and line breaks such places are known: before a single space between words and
+around a line break (byte-level vocabulary) or at any white space (word vocabulary, which also lets texts be put in lower
+case first), and between a word and the signs after it. All other texts, and texts that hold the string of a special token,
+as they are or in lower case, go to the library whole. Arrow cuts a step's texts and numbers its distinct pieces; only those
+are looked up, and new ones go to the library many at a time, a special token between them. The cache has two generations
+of about `limit` pieces; when the younger is full, it becomes the older one.
 """
 
 from __future__ import annotations
@@ -16,18 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-įı-ɏ]*")
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_TAIL = re.compile(rf"([{_L}]+)([^{_L}0-9²³¹¼-¾'\s]+)")
+#: Both vocabularies end a word before a sign that starts no contraction.
+_SIGN = rf"([{_L}])([^{_L}0-9²³¹¼-¾'\s])"
 _ASCII = re.compile(r"[\t\n\r\x20-\x7e]*")
+LONGEST = 64  # characters of a piece that the cache keeps
 _WIDE = re.compile(r"[\t\n\r ][\t\n\r ]")
 
 
 class Encoder:
     """ids(texts): one uint32 array per text."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads would take its neighbours'
         from tokenizers import Tokenizer
 
@@ -36,48 +40,27 @@ class Encoder:
         self.special = [t.content for t in added.values()]
         self.mark_id, self.mark = max((i, t.content) for i, t in added.items())
         self.keeps_spaces = len(self.library.encode("a  a", add_special_tokens=False).ids) > 2
-        self.limit, self.young, self.old = limit, {}, {}
+        self.limit, self.known, self.old = limit, {}, {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces whose ids may be joined, the first one marked as a text's start; None if no cut is known to be safe."""
+    def _ready(self, text: str) -> str | None:
+        """The text with a space (or, for the word vocabulary, any white space) at each place where it is cut into pieces whose
+        ids may be joined; a line break marks a piece without the space before it. None if no cut is known to be safe."""
         if not (_ASCII if text.isascii() else _PLAIN).fullmatch(text):
             return None
         low = text if self.keeps_spaces else text.lower()
         if any(s in text or s in low for s in self.special):
             return None
         if not self.keeps_spaces:
-            return low.split()
+            return low
         if text[:1].isspace() or text[-1:].isspace() or _WIDE.search(text):
             return None
-        parts = text.split(" ")
-        parts[0] = "\n" + parts[0]
-        return parts
-
-    def _learn(self, new: set[str]) -> None:
-        if self.keeps_spaces:
-            self._encode(list(new))
-            return
-        parts = [(p, m.groups()) for p in new if not p.isalpha() and (m := _TAIL.fullmatch(p))]
-        plain = new.difference([p for p, _ in parts])
-        for _, c in parts:
-            plain.update(c)
-        self._encode(list(self._recall(plain)))
-        get = self.young.__getitem__
-        self.young.update([(p, b"".join(map(get, c))) for p, c in parts])
-
-    def _recall(self, wanted: set[str]) -> set[str]:
-        """Take pieces over from the older generation; what is in neither."""
-        wanted = wanted - self.young.keys()
-        if self.old:
-            again = wanted & self.old.keys()
-            self.young.update({p: self.old[p] for p in again})
-            wanted -= again
-        return wanted
-
-    def _encode(self, new: list[str]) -> None:
+        return "\n" + text.replace("\n", " \n\n \n")
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        out: list[bytes] = []
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
             full = [p[1:] if p[:1] == "\n" else " " + p for p in part] if self.keeps_spaces else part
@@ -85,21 +68,46 @@ class Encoder:
             ids = np.concatenate([np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(joined, add_special_tokens=False)])
             cut = np.flatnonzero(ids == self.mark_id)
             if len(cut) != len(part):  # a piece reads as the special token: one by one then
-                self.young.update(zip(part, (x.tobytes() for x in self.whole(full)), strict=True))
+                out += [x.tobytes() for x in self.whole(full)]
                 continue
-            blob, at = ids.tobytes(), 0
-            for p, end in zip(part, (4 * cut).tolist(), strict=True):
-                self.young[p] = blob[at:end]
-                at = end + 4
+            ends = 4 * cut
+            out += map(ids.tobytes().__getitem__, map(slice, [0, *(ends[:-1] + 4).tolist()], ends.tolist()))
+        return out
+
+    def _lookup(self, wanted: list[str]) -> list[bytes]:
+        """Ids of distinct pieces. Pieces of the older generation move to the younger one, new ones are learned."""
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        out = list(map(self.known.get, wanted))
+        lack = [i for i, x in enumerate(out) if x is None]
+        names = [wanted[i] for i in lack]
+        found = list(map(self.old.get, names)) if self.old else [None] * len(names)
+        new = iter(self._encode([p for p, x in zip(names, found, strict=True) if x is None]))
+        found = [next(new) if x is None else x for x in found]
+        for i, x in zip(lack, found, strict=True):
+            out[i] = x
+        self.known.update(zip(names, found, strict=True))
+        for p in names:
+            if len(p) > LONGEST:
+                del self.known[p]
+        return out
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._pieces(t) for t in texts]
-        odd = iter(self.whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        self._learn(self._recall(set().union(*(c for c in cut if c))))
-        get = self.young.__getitem__
-        return [next(odd) if c is None else np.frombuffer(b"".join(map(get, c)), "<u4") for c in cut]
+        ready = [self._ready(t) for t in texts]
+        odd = iter(self.whole([t for t, r in zip(texts, ready, strict=True) if r is None]))
+        whole = pa.array([r for r in ready if r is not None], pa.large_string())
+        whole = pc.replace_substring_regex(whole, _SIGN, r"\1 %s\2" % ("\n" if self.keeps_spaces else ""))
+        cut = pc.split_pattern(whole, " ") if self.keeps_spaces else pc.ascii_split_whitespace(whole)
+        pieces = cut.flatten().dictionary_encode()
+        blobs = self._lookup(pieces.dictionary.to_pylist())
+        ids, size = np.frombuffer(b"".join(blobs), "<u4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2
+        at, which = np.cumsum(size) - size, pieces.indices.to_numpy()
+        size = size[which]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = ids[np.arange(ends[-1]) + np.repeat(at[which] - ends[:-1], size)]
+        bounds = ends[np.concatenate(([0], np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False))))].tolist()
+        spans = iter(zip(bounds[:-1], bounds[1:], strict=True))
+        return [next(odd) if r is None else ids[slice(*next(spans))] for r in ready]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -233,6 +233,19 @@ def test_pieces_give_the_ids_of_whole_texts(name):
     assert [x.tolist() for x in mine.ids(texts)] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_are_learned_once_whatever_signs_follow(name):
+    enc, texts = tokens.Encoder(tokenizer(name), limit=50), ["foo\nfoo, foo. foo; foo", "foo ,foo", "日本", ""]
+    assert [x.tolist() for x in enc.ids(texts)] == [x.tolist() for x in enc.whole(texts)]
+    words = [p for p in enc.known if "foo" in p]
+    assert len(words) == (3 if enc.keeps_spaces else 2), words  # with a space before it, at a line's start, and after a sign
+    for k in range(40):  # the cache stays bounded, and long pieces don't stay
+        step = [" ".join(f"w{k}x{i}" for i in range(30)), "y" * 200, "日本"]
+        assert [x.tolist() for x in enc.ids(step)] == [x.tolist() for x in enc.whole(step)]
+        assert len(enc.known) + len(enc.old) <= 2 * (50 + 31) and max(map(len, enc.known)) <= tokens.LONGEST
+    assert [x.tolist() for x in enc.ids(["日本"])] == [x.tolist() for x in enc.whole(["日本"])]
+
+
 def test_packing(docs, none):
     got = packing.pack(docs, tokenizer("word_bpe_49k.json"), size=64).collect()
     want = Counter((i, len(x)) for i, x in ids_of("word_bpe_49k.json", 2))
