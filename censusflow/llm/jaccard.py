@@ -407,6 +407,19 @@ def _settled(entries: DataFrame, sets: DataFrame, percent: int, block: int, firs
     return kept(both.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "token", "i", "j").mapInArrow(_settle(percent, first), _PAIR).select("a", "b"), "links")
 
 
+def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (id, component) after more links: only components that they join go through components() again."""
+    for end in ("a", "b"):
+        links = links.join(label.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    ends = kept(links.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct(), "joined")
+    if ends.isEmpty():
+        return label
+    more = components(ends)
+    up = more.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    old = label.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return kept(old.unionByName(more.join(label.select("id"), "id", "left_anti")), "labels")  # a set without a link was a component of its own
+
+
 def similar(docs: DataFrame, n: int = N, percent: int = PERCENT, hub: int = HUB, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, of sets with 100 |x & y| >= percent |x | y|."""
     spark = docs.sparkSession
@@ -434,7 +447,7 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT, hub: int = HUB,
         return texts.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("s1", "s2", "text")])
 
     full = near.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b", "s1_a", "s2_a", "s1_b", "s2_b")
-    links = kept(full.mapInArrow(_verify(n, percent), "a long, b long"), "links")
+    label = components(kept(full.mapInArrow(_verify(n, percent), "a long, b long"), "links"))
 
     large = met.where("token is not null")
     if not large.isEmpty():
@@ -445,12 +458,15 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT, hub: int = HUB,
         asked = large.select("id").distinct().join(reps.select("id", "s1", "s2", "doc"), "id")
         grams = kept(docs.join(asked, docs.doc_id == asked.doc).select("id", "s1", "s2", "text").mapInArrow(_ordered(n, steps), "id long, grams binary"), "grams")
         for first in (True, False):
-            label = components(links)
             named = (large.where("met") if first else large).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            links = links.unionByName(_settled(named, grams, percent, block, first))
-    named = reps.select("id", "doc")
-    ends = links.join(named.withColumnsRenamed({"id": "a", "doc": "x"}), "a").join(named.withColumnsRenamed({"id": "b", "doc": "y"}), "b")
-    same = sets.where("n > 0 and doc_id is not null").join(reps.select("s1", "s2", "doc"), ["s1", "s2"]).where("doc <> doc_id").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
-    label = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).union(same))
-    out = sets.join(label, sets.doc_id == label.id, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+            label = relabelled(label, _settled(named, grams, percent, block, first))
+
+    own = sets.where("n > 0 and doc_id is not null").join(reps.select("s1", "s2", "id", "doc"), ["s1", "s2"]).select("doc_id", "id", "doc")
+    per = kept(own.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("doc").alias("doc")), "owners")
+    several = per.where("lo <> hi")  # texts that share a doc_id
+    if not several.isEmpty():
+        label = relabelled(label, kept(own.join(several.select("doc_id", "lo"), "doc_id").where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")), "shared"))
+    least = label.join(reps.select("id", "doc"), "id").groupBy("component").agg(F.min("doc").alias("least"))
+    top = label.join(least, "component").select("id", "least")
+    top = per.join(top, per.lo == top.id, "left").select("doc_id", F.coalesce("least", "doc").alias("top"))
+    return sets.join(top, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top", "doc_id").alias("component_id"))

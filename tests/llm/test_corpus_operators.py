@@ -128,6 +128,26 @@ def brute_components(rows, n=4, percent=85):
             return label, links
 
 
+def test_links_go_through_components_once(spark, monkeypatch):
+    """Copies bring no edges, and later rounds only those between components; texts that share a doc_id still join theirs."""
+    a, b = prose(80).split(), prose(60)
+    near = [" ".join([*a[:79], f"x{i}"]) for i in range(6)]
+    rows = [(i, t) for i, t in enumerate(near)] + [(100 + i, near[0]) for i in range(40)] + [(50, b), (60, b), (60, near[2]), (70, None), (70, b)]
+    seen, plain = [], jaccard.components
+
+    def counted(edges):
+        seen.append(edges.count())
+        return plain(edges)
+
+    monkeypatch.setattr(jaccard, "components", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for hub in (1, 64):
+        seen.clear()
+        got = [(r.doc_id, r.component_id) for r in jaccard.similar(frame, hub=hub).collect()]
+        assert sorted(got) == sorted((i, 0) for i, _ in rows)
+        assert sum(seen) <= 15 + 1, seen  # pairs of the six, and the doc_id that joins both groups
+
+
 @pytest.mark.parametrize("hub,block,parts", [(8, 1 << 20, 2), (8, 3000, 29), (1, 700, 5)])
 def test_near_copies_by_the_hundred(spark, hub, block, parts):
     """Near copies of one text, of which many don't link, with a passage that unlike texts share."""
