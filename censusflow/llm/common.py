@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,17 +76,16 @@ def read(docs: DataFrame, *columns: str) -> DataFrame:
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of at most `limit` bytes of text (one row at least) with their texts as UTF-8; null reads as empty."""
     for batch in batches:
-        i = batch.schema.get_field_index(column)
-        col = batch.column(i)
-        texts = [t or b"" for t in col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary()).to_pylist()]
+        col = batch.column(batch.schema.get_field_index(column))
+        col = col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary())
         start, size = 0, 0
-        for k, t in enumerate(texts):
-            if k > start and size + len(t) > limit:
-                yield batch.slice(start, k - start), texts[start:k]
+        for k, n in enumerate(pc.fill_null(pc.binary_length(col), 0).to_pylist()):
+            if k > start and size + n > limit:
+                yield batch.slice(start, k - start), [t or b"" for t in col.slice(start, k - start).to_pylist()]
                 start, size = k, 0
-            size += len(t)
-        if texts[start:]:
-            yield batch.slice(start), texts[start:]
+            size += n
+        if start < len(col):
+            yield batch.slice(start), [t or b"" for t in col.slice(start).to_pylist()]
 
 
 def partitions(spark: SparkSession) -> int:

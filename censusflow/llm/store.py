@@ -4,7 +4,8 @@ A text's ids are cut where a rolling hash over the last 8 ids hits a mask, so eq
 they stand. A chunk's name is the digest of its bytes; each is stored once. A document is a recipe (names and sizes of
 its chunks) with a Merkle root over the names. Layout below one folder, all Parquet:
 
-  kind=chunk    key, n, payload (ids as little-endian unsigned 16 or 32 bits)
+  data          kind, key, n, payload (ids as little-endian unsigned 16 or 32 bits) of chunks, recipes as they came; one file a
+                task, as executors fork for each file and folder on a local disk without Hadoop's native library
   manifest      doc_id, start in its part, n, names, sizes, root, part; parts are ranges in ascending doc_id order
   parts         part, number of documents and ids, start of its first id, Merkle root over its documents' roots
 
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from censusflow.llm.common import multipliers, mix, partitions
-from censusflow.llm.tokens import encoded, encoder
+from censusflow.llm.tokens import encoded, encoder, forget
 
 SPAN, LEAST, MASK_BITS, MOST = 8, 128, 9, 4096
+_MULTIPLIERS = multipliers(SPAN, 7)
 
 
 def name(data: bytes) -> bytes:
@@ -47,25 +49,36 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: content-defined, LEAST to MOST ids each but for the last."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    rolling = np.zeros(n - SPAN + 1, np.uint64)
-    wide = ids.astype(np.uint64)
-    for j, m in enumerate(multipliers(SPAN, 7)):
-        rolling += wide[j : j + len(rolling)] * m
-    at = np.flatnonzero((mix(rolling) >> np.uint64(64 - MASK_BITS)) == 0) + SPAN
-    out, last = [], 0
-    for p in [*at.tolist(), n]:
-        while p - last > MOST:
-            last += MOST
-            out.append(last)
-        if p - last >= LEAST or p == n:
-            if p > last:
-                out.append(p)
-            last = p
+def cuts(docs: list[np.ndarray]) -> list[list[int]]:
+    """Ends of each document's chunks: content-defined, LEAST to MOST ids each but for the last."""
+    ends = np.cumsum([len(d) for d in docs])
+    wide = np.concatenate([*docs, np.zeros(SPAN, "<u4")])
+    hits = []
+    for k in range(0, int(ends[-1]), 1 << 15):  # few enough for the processor's cache
+        ids = wide[k : k + (1 << 15) + SPAN - 1].astype(np.uint64)
+        rolling = np.zeros(max(0, len(ids) - SPAN + 1), np.uint64)
+        for j, m in enumerate(_MULTIPLIERS):
+            rolling += ids[j : j + len(rolling)] * m
+        hits.append(np.flatnonzero((mix(rolling) >> np.uint64(64 - MASK_BITS)) == 0) + (k + SPAN))
+    at = np.concatenate(hits)
+    begins = ends - [len(d) for d in docs]
+    of = np.searchsorted(ends, at)  # the document in which the window ends
+    inside = (of < len(docs)) & (at - SPAN >= begins[np.minimum(of, len(docs) - 1)])
+    every: list[list[int]] = [[] for _ in docs]
+    for i, p in zip(of[inside].tolist(), (at[inside] - begins[of[inside]]).tolist(), strict=True):
+        every[i].append(p)
+    out = []
+    for found, n in zip(every, map(len, docs), strict=True):
+        doc, last = [], 0
+        for p in [*found, n]:
+            while p - last > MOST:
+                last += MOST
+                doc.append(last)
+            if p - last >= LEAST or p == n:
+                if p > last:
+                    doc.append(p)
+                last = p
+        out.append(doc)
     return out
 
 
@@ -77,9 +90,9 @@ def _encode(path: str, end: int, width: str):
         part, serial, sent = TaskContext.get().partitionId(), 0, set()
         for batch, every in encoded(batches, path, end):
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), every, strict=True):
+            for doc, ids, ends in zip(batch.column("doc_id").to_pylist(), every, cuts(every), strict=True):
                 data, names, sizes, at = ids.astype(width), [], [], 0
-                for p in cuts(ids):
+                for p in ends:
                     blob = data[at:p].tobytes()
                     key = name(blob)
                     names.append(key)
@@ -90,7 +103,7 @@ def _encode(path: str, end: int, width: str):
                         sent.add(key)
                         rows.append(("chunk", key, None, p - at, None, None, blob))
                     at = p
-                rows.append(("recipe", b"%d/%d" % (part, serial), doc, len(ids), b"".join(names), np.array(sizes, "<u4").tobytes(), None))
+                rows.append(("recipe", b"%016d/%d" % (part, serial), doc, len(ids), b"".join(names), np.array(sizes, "<u4").tobytes(), None))
                 serial += 1
             types = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in _ROW.split(", ")])
@@ -102,6 +115,7 @@ _MANIFEST = "doc_id long, local long, n long, names binary, sizes binary, root b
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
         n = batch.column("n").to_numpy()
@@ -140,10 +154,10 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end: int = 0) -> N
     spark = docs.sparkSession
     width = "<u2" if max(encoder(tokenizer).library.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
     rows = docs.select("doc_id", "text").mapInArrow(_encode(tokenizer, end, width), _ROW)
-    first = [F.first(c).alias(c) for c in ("doc_id", "n", "names", "sizes", "payload")]
-    once = rows.repartition(partitions(spark), "kind", "key").groupBy("kind", "key").agg(*first)
-    once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/data")
-    recipes = _data(spark, folder, "recipe", "key binary, doc_id long, n long, names binary, sizes binary")
+    first = [F.first(c).alias(c) for c in ("kind", "doc_id", "n", "names", "sizes", "payload")]
+    once = rows.repartition(partitions(spark), "key").groupBy("key").agg(*first)  # a recipe's key is longer than a chunk's
+    once.write.option("compression", "zstd").parquet(f"{folder}/data")
+    recipes = _data(spark, folder, "recipe", "doc_id long, n long, names binary, sizes binary")
     placed = recipes.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), "names").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "names")
     placed.select("doc_id", "n", "names", "sizes").mapInArrow(_place, _MANIFEST).write.option("compression", "zstd").parquet(f"{folder}/manifest")
     manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
@@ -153,14 +167,12 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end: int = 0) -> N
 
 
 def _data(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame:
-    """Rows of one kind; none where the store has no such folder."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/data/kind={kind}")
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/data/kind={kind}")
+    """Rows of one kind."""
+    return spark.read.schema(f"kind string, {schema}").parquet(f"{folder}/data").where(F.col("kind") == kind).drop("kind")
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         good, crc = [], []
         for key, n, blob in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), batch.column("payload").to_pylist(), strict=True):

@@ -5,14 +5,19 @@ texts of printable Latin characters, tabs and line breaks such places are known:
 around a line break (byte-level vocabulary) or at any white space (word vocabulary, which also lets texts be put in lower
 case first), and between a word and the signs after it. All other texts, and texts that hold the string of a special token,
 as they are or in lower case, go to the library whole. Arrow cuts a step's texts and numbers its distinct pieces; only those
-are looked up, and new ones go to the library many at a time, a special token between them. The cache has two generations
-of about `limit` pieces; when the younger is full, it becomes the older one.
+are looked up, and new ones go to the library many at a time: those after a space (byte-level vocabulary) as one line, parted
+again at ids that start with a space, others with a special token between them. The cache has two generations of about `limit`
+pieces; when the younger is full, it becomes the older one. `forget` gives the worker's memory back to the system.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +45,8 @@ class Encoder:
         self.special = [t.content for t in added.values()]
         self.mark_id, self.mark = max((i, t.content) for i, t in added.items())
         self.keeps_spaces = len(self.library.encode("a  a", add_special_tokens=False).ids) > 2
+        self.spaced = np.zeros(self.library.get_vocab_size() + 1, bool)  # ids that start with a space
+        self.spaced[[i for t, i in self.library.get_vocab().items() if t.startswith("Ġ")]] = self.keeps_spaces
         self.limit, self.known, self.old = limit, {}, {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -59,21 +66,34 @@ class Encoder:
             return None
         return "\n" + text.replace("\n", " \n\n \n")
 
-    def _encode(self, new: list[str]) -> list[bytes]:
+    def _joined(self, texts: list[str]) -> np.ndarray:
+        """Ids of texts one after another."""
+        return np.concatenate([np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _learned(self, pieces: list[str], apart: bool) -> list[bytes]:
+        """Ids of pieces as they stand in a text; unless they are kept apart by the special token, each starts with its only space."""
         out: list[bytes] = []
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            full = [p[1:] if p[:1] == "\n" else " " + p for p in part] if self.keeps_spaces else part
-            joined = [self.mark.join(full[i : i + 64]) + self.mark for i in range(0, len(full), 64)]
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(joined, add_special_tokens=False)])
-            cut = np.flatnonzero(ids == self.mark_id)
-            if len(cut) != len(part):  # a piece reads as the special token: one by one then
-                out += [x.tobytes() for x in self.whole(full)]
+        for k in range(0, len(pieces), 4096):
+            part = pieces[k : k + 4096]
+            mark = self.mark if apart else ""
+            ids = self._joined([mark.join(part[i : i + 64]) + mark for i in range(0, len(part), 64)])
+            cut = np.flatnonzero(ids == self.mark_id if apart else self.spaced[ids])
+            if len(cut) != len(part) or not apart and cut[0]:  # a piece reads as the special token: one by one then
+                out += [x.tobytes() for x in self.whole(part)]
                 continue
-            ends = 4 * cut
-            out += map(ids.tobytes().__getitem__, map(slice, [0, *(ends[:-1] + 4).tolist()], ends.tolist()))
+            ends = 4 * cut if apart else 4 * np.append(cut[1:], len(ids))
+            starts = [0, *(ends[:-1] + 4 * apart).tolist()]
+            out += map(ids.tobytes().__getitem__, map(slice, starts, ends.tolist()))
         return out
 
+    def _encode(self, new: list[str]) -> list[bytes]:
+        if not self.keeps_spaces:
+            return self._learned(new, True)
+        bare = [p[:1] == "\n" for p in new]
+        after = iter(self._learned([" " + p for p, x in zip(new, bare, strict=True) if not x], False))
+        alone = iter(self._learned([p[1:] for p, x in zip(new, bare, strict=True) if x], True))
+        return [next(alone if x else after) for x in bare]
+
     def _lookup(self, wanted: list[str]) -> list[bytes]:
         """Ids of distinct pieces. Pieces of the older generation move to the younger one, new ones are learned."""
         if len(self.known) > self.limit:
@@ -99,13 +119,18 @@ class Encoder:
         whole = pc.replace_substring_regex(whole, _SIGN, r"\1 %s\2" % ("\n" if self.keeps_spaces else ""))
         cut = pc.split_pattern(whole, " ") if self.keeps_spaces else pc.ascii_split_whitespace(whole)
         pieces = cut.flatten().dictionary_encode()
-        blobs = self._lookup(pieces.dictionary.to_pylist())
-        ids, size = np.frombuffer(b"".join(blobs), "<u4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2
-        at, which = np.cumsum(size) - size, pieces.indices.to_numpy()
+        blobs = self._lookup(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = np.frombuffer(b"".join(blobs), "<u4")
+        which, size = pieces.indices.to_numpy(), np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2
+        del blobs, pieces
+        at = np.cumsum(size) - size
         size = size[which]
         ends = np.concatenate(([0], np.cumsum(size)))
-        ids = ids[np.arange(ends[-1]) + np.repeat(at[which] - ends[:-1], size)]
         bounds = ends[np.concatenate(([0], np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False))))].tolist()
+        small = np.int32 if max(ends[-1], len(ids)) < 1 << 31 else np.int64
+        where = np.repeat((at[which] - ends[:-1]).astype(small), size)
+        where += np.arange(len(where), dtype=small)
+        ids = ids[where]
         spans = iter(zip(bounds[:-1], bounds[1:], strict=True))
         return [next(odd) if r is None else ids[slice(*next(spans))] for r in ready]
 
@@ -120,6 +145,22 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _trim() -> None:
+    """Give memory that is free in Arrow's pool and in the C library's heap back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def forget() -> None:
+    """Drop the worker's encoders; what comes after them in the same worker needs their memory."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+        _trim()
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of rows with the ids of their texts, `end` appended; null reads as empty."""
     from censusflow.llm.common import pieces
@@ -127,3 +168,4 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, column: str
     enc = encoder(path)
     for batch, texts in pieces(batches, column, limit):
         yield batch, [np.append(x, np.uint32(end)) for x in enc.ids([t.decode() for t in texts])]
+        _trim()

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pathlib
 import tracemalloc
 import zlib
 from collections import Counter
@@ -236,6 +237,26 @@ def test_store(spark, docs, none):
     assert joined.tolist() == [zlib.crc32(b"".join(parts[a:b])) for a, b in ((0, 4), (4, 5), (5, 8))]
 
 
+def test_store_leaves_little_to_the_steps_that_follow(spark, docs):
+    """One file a task (each file and folder is a fork of the executor on local disks), and no encoder stays in a worker."""
+    folder = new_path(spark, "store")
+    store.write_store(docs, folder, tokenizer("byte_bpe_50k.json"), 0)
+    data = pathlib.Path(folder.removeprefix("file://").removeprefix("file:"), "data")
+    assert data.is_dir() and not [p for p in data.iterdir() if p.is_dir()]
+    assert len(list(data.glob("part-*"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens.encoder(tokenizer("byte_bpe_50k.json"))
+    assert list(store._checked(iter([]))) == [] and not tokens._ENCODERS
+
+
+def test_cuts_of_many_documents_are_those_of_each():
+    rng = np.random.default_rng(11)
+    docs = [rng.integers(0, k, n).astype("<u4") for n in (1, 7, 8, 9, 128, 129, 5000, 40_000, 1, 300) for k in (2, 50_000)]
+    every = store.cuts(docs)
+    assert every == [store.cuts([d])[0] for d in docs] and [c[-1] for c in every] == [len(d) for d in docs]
+    sizes = np.concatenate([np.diff([0, *c[:-1]]) for c in every])
+    assert sizes.min() >= store.LEAST and sizes.max() <= store.MOST
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_give_the_ids_of_whole_texts(name):
     """Random texts of Latin letters, signs, white space and special strings in all letter cases."""
