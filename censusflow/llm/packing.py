@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from censusflow.llm.common import kept, mix, partitions
-from censusflow.llm.tokens import encoded
+from censusflow.llm.tokens import encoded, forget
 
 SIZE, END, CELLS, DIMS, BITS = 4096, 2, 256, 3, 10
 
@@ -83,6 +83,7 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _pack(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         part, sequence, used = TaskContext.get().partitionId(), 0, 0
         open_: list[list] = []  # pieces of the sequence that is being filled: doc_id, start, ids, doc_tokens, offset
         rows: list[tuple] = []

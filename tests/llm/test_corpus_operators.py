@@ -306,6 +306,12 @@ def test_packing(docs, none):
     assert packing.pack(none, tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_drops_the_encoder(monkeypatch):
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    tokens.encoder(tokenizer("word_bpe_49k.json"))
+    assert list(packing._pack(64)(iter([]))) == [] and not tokens._ENCODERS
+
+
 def test_hilbert_is_a_walk():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     order = grid[np.argsort(packing.hilbert(grid, 3))]
